@@ -1,9 +1,10 @@
 """Queries of this subpackage and their DuckDB equivalents, for the entry point."""
 
-from . import gif_media, line_dedup, minmax_dedup, mixing, toxicity, unigram
+from . import brown_lm, gif_media, line_dedup, minmax_dedup, mixing, toxicity, unigram
 
 QUERIES = {
     "op1_minmax_dedup": minmax_dedup.op1_minmax_dedup,
+    "op3_brown_lm": brown_lm.op3_brown_lm,
     "op4_sentencepiece": unigram.op4_sentencepiece,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_gif_media": gif_media.op8_gif_media,
