@@ -1,12 +1,13 @@
 """Queries of this subpackage and their DuckDB equivalents, for the entry point."""
 
-from . import brown_lm, gif_media, line_dedup, minmax_dedup, mixing, toxicity, unigram
+from . import brown_lm, embedding_dedup, gif_media, line_dedup, minmax_dedup, mixing, toxicity, unigram
 
 QUERIES = {
     "op1_minmax_dedup": minmax_dedup.op1_minmax_dedup,
     "op3_brown_lm": brown_lm.op3_brown_lm,
     "op4_sentencepiece": unigram.op4_sentencepiece,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_gif_media": gif_media.op8_gif_media,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_source_mixing": mixing.op10_source_mixing,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_minmax_dedup": minmax_dedup.ORACLE,
+    "op7_embedding_dedup": embedding_dedup.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
