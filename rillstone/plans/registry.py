@@ -724,9 +724,5 @@ def reaction_at_least_once(spark, d):
     for n in (0, 1):
         log.where(F.col("delivery") == n).drop("delivery").write.parquet(f"{at}/in/{n}")
     events = spark.readStream.schema("stream_name string, position long, type string, data string").option("maxFilesPerTrigger", 8).parquet(f"{at}/in/*")
-    reactor.run_once(events, handle_all, f"{at}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/{n}"))
+    reactor.run_once(events, reactor.take_all, f"{at}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/{n}"))
     return spark.read.schema(reactor.HANDLED).parquet(f"{at}/out/*")
-
-
-def handle_all(stream, events):
-    return ("all", 0)
