@@ -176,3 +176,21 @@ def replay(writes: DataFrame, from_ordinal: int) -> DataFrame:
     writes: (ordinal, stream_name, position, ...)."""
     deliveries = writes.where(F.col("ordinal") >= from_ordinal).select(F.col("ordinal").alias("delivery"), "stream_name").distinct()
     return deliveries.join(writes, "stream_name").where("ordinal <= delivery")
+
+
+def pruned(batches: DataFrame, gone: DataFrame) -> DataFrame:
+    """Batches without those of gone (stream_name, i)."""
+    return batches.join(gone.select("stream_name", "i"), ["stream_name", "i"], "left_anti")
+
+
+def dumped(log: DataFrame, stream: str) -> DataFrame:
+    """A stream as JSON lines, in order."""
+    found = stream_messages(log, stream, 0, -1)
+    return found.select(F.to_json(F.struct("position", "type", "data")).alias("line"))
+
+
+def lead_times(batch: DataFrame, now) -> DataFrame:
+    """(stream_name, events, lead_ms) of a batch: how far each stream's last event lies before `now`."""
+    per = batch.groupBy("stream_name").agg(F.count("*").alias("events"), F.max("time").alias("t"))
+    ms = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp"))
+    return per.select("stream_name", "events", F.floor(ms / 1000).alias("lead_ms"))

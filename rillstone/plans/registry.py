@@ -280,6 +280,24 @@ def volatile_replay(spark, d):
     return scans.replay(writes, 1).select("delivery", "stream_name", "position")
 
 
+@query(f"with {BATCHES} select stream_name, i, n from b where i % 20 <> 0")
+def batch_prune(spark, d):
+    batches = scans.as_batches(user(spark, d), 10)
+    return scans.pruned(batches, batches.where("i % 20 = 0")).select("stream_name", "i", "n")
+
+
+@query(f"with {USER}, m as (select max(time) as t from log) select stream_name, count(*) as events, (epoch_us((select t from m)) - epoch_us(max(time))) // 1000 as lead_ms from log group by 1")
+def lead_times(spark, d):
+    log = user(spark, d)
+    return scans.lead_times(log, log.agg(F.max("time")).first()[0])
+
+
+@query(f"with {USER} select position, type from log where stream_name = 'User-2'")
+def stream_dump(spark, d):
+    lines = scans.dumped(user(spark, d), "User-2")
+    return lines.select(N.json_text("line", "position").cast("long").alias("position"), N.json_text("line", "type").alias("type"))
+
+
 # Functions
 
 
