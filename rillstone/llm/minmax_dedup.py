@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     """(doc_id, __text_key, n_shingles, component_id, kept), one row for each row of docs.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets. Null and empty texts, and
-    those without words, have an empty set, are linked with nothing and kept. Rows with one doc_id are one document
-    for the components; null doc_ids have no component and are kept. An empty table gives an empty one.
+    those without words, have an empty set, are linked with nothing and kept. Rows with one doc_id are told
+    apart by their texts; null doc_ids have no component and are kept. An empty table gives an empty one.
     """
     base = written(signed(docs, width, permutations, rows), "signatures")
     known = base.where("__class is not null and doc_id is not null")
@@ -235,8 +235,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
 
     found = linked(classes.select("id", "__bands", "n_shingles"), confirm, compare, "n_shingles")
     label = classes.join(found, "id", "left").select("__class", F.coalesce("component", "id").alias("__component"))
-    # rows of one doc_id with different texts join their classes' components
-    out = base.join(label, "__class", "left").select("doc_id", "__text_key", "n_shingles", F.coalesce("__component", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("__component", "doc_id")).alias("component_id")
+    out = base.join(label, "__class", "left").select("doc_id", "__text_key", "n_shingles", component)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -245,8 +245,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that share the kept doc_id and text stay, as many as there are; so do rows without a doc_id.
     """
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__id"), F.col("__text_key").alias("__key"))
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
 
 
 def op1_minmax_dedup(spark, sf_dir):
