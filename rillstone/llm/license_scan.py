@@ -65,7 +65,10 @@ def shingle_hashes(words: Column) -> Column:
 
 
 def minhashes(grams: Column) -> Column:
-    return F.array(*[F.array_min(F.transform(grams, lambda g, k=k: F.xxhash64(g, F.lit(k)))) for k in range(BANDS)])
+    def salted(k: int):  # a second parameter of a lambda would be the element's index
+        return lambda g: F.xxhash64(g, F.lit(k))
+
+    return F.array(*[F.array_min(F.transform(grams, salted(k))) for k in range(BANDS)])
 
 
 def shape(text: str) -> tuple[int, int]:
@@ -101,14 +104,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, perc
     some = some.select("doc_id", "tk", shingle_hashes(F.col("words")).alias("grams"), at.alias("marks"))
     shapes = sorted({shape(text) for text in templates.values()})
     shapes = F.explode(F.array(*[F.struct(F.lit(w).alias("wide"), F.lit(s).alias("step")) for w, s in shapes])).alias("shape")
-    # a window starts at each multiple of the step up to the last shingle, so the text's end is covered
-    starts = F.explode(F.sequence(F.lit(0), F.size("grams") - 1, F.col("step"))).alias("start")
-    shaped = some.where("size(grams) > 0 and size(marks) > 0")
-    shaped = shaped.select("doc_id", "tk", "grams", "marks", shapes).select("doc_id", "tk", "grams", "marks", "shape.*")
-    shaped = shaped.select("doc_id", "tk", "grams", "marks", "wide", "step", starts)
-    reach = F.col("start") + F.col("wide") + WIDTH - 1
-    shaped = shaped.where(F.exists("marks", lambda m: (m >= F.col("start")) & (m < reach)))
-    windows = shaped.select("doc_id", "tk", "wide", "step", "start", F.slice("grams", F.col("start") + 1, F.col("wide")).alias("window"))
+    shaped = some.select("doc_id", "tk", "grams", "marks", shapes).select("doc_id", "tk", "grams", "marks", "shape.*")
+    # Windows start at multiples of the step up to the last shingle, so the text's end is covered; those that hold an
+    # anchor follow from its place. No filter stands on computed columns: pushed down, it would compute them again.
+    first = lambda m: F.greatest(F.lit(0), F.ceil((m - F.col("wide") - WIDTH + 2) / F.col("step")).cast("int") * F.col("step"))
+    last = lambda m: F.floor(F.least(m, F.size("grams") - 1) / F.col("step")).cast("int") * F.col("step")
+    none = F.array().cast("array<int>")
+    starts = F.transform("marks", lambda m: F.when(first(m) <= last(m), F.sequence(first(m), last(m), F.col("step"))).otherwise(none))
+    slices = F.transform(F.array_distinct(F.flatten(starts)), lambda s: F.struct(s.alias("start"), F.slice(F.col("grams"), s + 1, F.col("wide")).alias("window")))
+    windows = shaped.select("doc_id", "tk", "wide", "step", F.explode(slices).alias("w")).select("doc_id", "tk", "wide", "step", "w.*")
     hashed = windows.select("*", F.posexplode(minhashes(F.col("window"))).alias("band", "value"))
     bands = known.select("license", "wide", "step", "grams", F.posexplode(minhashes(F.col("grams"))).alias("band", "value"))
     met = hashed.join(F.broadcast(bands), ["wide", "step", "band", "value"])
