@@ -190,7 +190,15 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     spark = train.sparkSession
     counts = written(word_counts(train), "word-counts")
     n_texts = train.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(MAP).collect()
+    # the words of all classes of counts, from the highest down, that together are at most MAP
+    of = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    room, least = MAP, None
+    for r in sorted(counts.groupBy(of.alias("k")).count().collect(), key=lambda r: -r.k):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r.k
+    kept = F.lit(False) if least is None else of >= least
+    top = sorted(counts.where(kept).collect(), key=lambda r: (-r.n, r.word))
     held = {bytes(r.word): r.n for r in top}
     core = [bytes(r.word) for r in top[:CORE]]
     words = spark.sparkContext.broadcast(core)
@@ -219,12 +227,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
         tokens[r.c], types[r.c] = r.tokens, r.types
     tokens[CLASSES], types[CLASSES] = n_texts, n_texts > 0
     model = Model(core, held, classes, grid, tokens, types)
-    rest = counts
-    if len(top) == MAP:
-        last = top[-1]
-        rest = counts.where((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("word") > F.lit(bytes(last.word)))))
-    else:
-        rest = counts.where("false")
+    rest = counts.where(~kept)
     return model, rest
 
 
