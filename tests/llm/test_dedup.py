@@ -158,7 +158,7 @@ def test_edit_similarity_is_exact(spark):
             k = rnd.randrange(len(b) + 1)
             b[k : k + rnd.randint(0, 2)] = [X.word(rnd) for _ in range(rnd.randint(0, 2))]
         pairs.append((a, b or ["x"]))
-    df = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", line_dedup.similar(F.col("a"), F.col("b"), 80).alias("s"))
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", line_dedup.similar(F.col("a"), F.col("b"), *(F.length(F.array_join(c, " ")) for c in "ab"), 80).alias("s"))
     found = df.collect()
     assert 40 < sum(r.s for r in found) < 260
     for r in found:
