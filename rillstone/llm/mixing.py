@@ -51,12 +51,13 @@ def planned(docs: DataFrame, weights=WEIGHTS, most=MOST, seed=SEED) -> DataFrame
     targets = source_targets(docs, size, weights, most).withColumnsRenamed(
         {"source_size": "__mix_source_size", "target": "__mix_target"}
     )
-    joined = docs.join(targets, F.col("source").eqNullSafe(F.col("__mix_source")), "left").drop("__mix_source")
+    sized = docs.withColumn("__mix_size", size)  # before the join, so that texts need not travel for it
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__mix_source")), "left").drop("__mix_source")
     rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(F.lit(0.0))
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12)
     chance = F.conv(digits, 16, 10).cast("long") / F.lit(float(16**12))
     copies = F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("__mix_size", size).withColumn("__mix_copies", copies.cast("long"))
+    return joined.withColumn("__mix_copies", copies.cast("long"))
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, most=MOST, seed=SEED) -> DataFrame:
