@@ -150,7 +150,8 @@ class Unigram:
         self.scores = np.array(pieces.scores, dtype=np.float64)
         #: A character that no piece covers costs this, however many bytes it has.
         self.uncovered = min((s for s, k in zip(pieces.scores, pieces.kinds, strict=True) if k == NORMAL), default=0.0) - 10.0
-        self.seen: dict[str, tuple[int, ...]] = {}
+        #: Ids of each stretch as 32-bit numbers.
+        self.seen: dict[str, bytes] = {}
 
     def paths(self, stretches: list[str]) -> list[tuple[int, ...]]:
         """Ids of the best path of each stretch, its marker included. Of equal paths the one whose last piece starts
@@ -166,9 +167,8 @@ class Unigram:
         size = np.array([len(r) for r in raw])
         order = np.argsort(-size, kind="stable")
         size, most = size[order], int(size.max(initial=0))
-        text = np.zeros((most + 1, n), np.uint8)
-        for k, i in enumerate(order):
-            text[: len(raw[i]), k] = np.frombuffer(raw[i], np.uint8)
+        filled = b"".join([raw[i].ljust(most + 1, b"\0") for i in order])
+        text = np.frombuffer(filled, np.uint8).reshape(n, most + 1).T.copy()
         best = np.full((most + 1, n), -np.inf)
         best[0] = 0.0
         came = np.zeros((most + 1, n), np.int32)
@@ -217,26 +217,40 @@ class Unigram:
             out[i] = tuple(ids[::-1])
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; null and empty texts have none."""
+    def encode_packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers; null and empty texts have none."""
         cut = [stretches(t) if t else [] for t in texts]
         seen = self.seen
-        new = list(dict.fromkeys(s for c in cut for s in c if s not in seen))
+        new = list({s for c in cut for s in c if s not in seen})
         if len(seen) + len(new) > REMEMBERED:
             seen.clear()
-            new = list(dict.fromkeys(s for c in cut for s in c))
-        seen.update(zip(new, self.paths_of(new), strict=True))
-        out = []
-        for c in cut:
-            ids: list[int] = []
-            for s in c:
-                ids += seen[s]
-            out.append(ids)
-        return out
+            new = list({s for c in cut for s in c})
+        seen.update((s, np.array(ids, np.int32).tobytes()) for s, ids in zip(new, self.paths_of(new), strict=True))
+        get = seen.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text; null and empty texts have none."""
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(texts)]
 
     def paths_of(self, found: list[str]) -> list[tuple[int, ...]]:
         """As paths(), for stretches as the text has them: without the marker, which is put before all but parts of
         long ones, and with the text's own U+2581 as bytes."""
+        out: list = [None] * len(found)
+        mark = MARK.encode()
+        short = [i for i, s in enumerate(found) if len(s) < 48 and MARK not in s]
+        for low, high in ((0, 12), (12, 48)):  # apart, so that a table is about as wide as its stretches
+            of = [i for i in short if low <= len(found[i]) < high]
+            for start in range(0, len(of), 20_000):
+                some = of[start : start + 20_000]
+                for i, ids in zip(some, self._block([mark + found[i].encode("utf-8", "surrogatepass") for i in some]), strict=True):
+                    out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._cut_paths([found[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _cut_paths(self, found: list[str]) -> list[tuple[int, ...]]:
         parts: list[str] = []
         plan: list[list[int | tuple[int, ...]]] = []
         own = tuple(self.bytes[list(MARK.encode())].tolist())
@@ -252,7 +266,7 @@ class Unigram:
             plan.append(row)
         # long ones apart, so that a table is as wide as its stretches
         ids: dict[int, tuple[int, ...]] = {}
-        for low, high in ((0, 16), (16, 48), (48, 10**9)):
+        for low, high in ((0, 48), (48, 10**9)):
             of = [i for i, p in enumerate(parts) if low <= len(p) < high]
             for start in range(0, len(of), 20_000 if high < 10**9 else 1_000):
                 some = of[start : start + (20_000 if high < 10**9 else 1_000)]
@@ -298,9 +312,12 @@ def encode(docs: DataFrame, model: str | Pieces = MODEL) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 texts = b.column("text").to_pylist()
-                ids = coder.encode_batch(texts)
-                same = [back(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int32()), pa.array(same, pa.bool_())]
+                ids = coder.encode_packed(texts)
+                same = [back(np.frombuffer(i, np.int32).tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                sizes = np.array([len(i) // 4 for i in ids], np.int32)
+                starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                made = [pa.ListArray.from_arrays(starts, flat), pa.array(sizes), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "piece_ids", "n_pieces", "decoded_exactly"])
 
     return docs.mapInArrow(run, schema)
