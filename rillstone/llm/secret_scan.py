@@ -35,7 +35,7 @@ PATHS = ("test", "example", "fixture", "mock", "sample", "docs")
 PATTERN = r"(?<![A-Za-z0-9_])(?:" + "|".join(KINDS.values()) + ")"
 VALUE = r"^(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?"
 FEATURES = ("length", "transitions", "digits", "distinct", "covered", "odd_path", "doubtful", "telling")
-TREES, DEPTH, FINDINGS = 20, 5, 3000
+TREES, DEPTH, FINDINGS = 40, 7, 6000
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     mixed = F.translate(F.base64(F.unhex(hexes("b"))), "+/=", "xYz")
     kind = i % 10
     value = (
-        F.when(kind == 0, F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(hexes("a"), "0189", "QRTV"), 1, 16))))
+        F.when(kind == 0, F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(F.base64(F.unhex(hexes("a"))), "+/=", "XYZ"), 1, 16))))
         .when(kind == 1, F.substring(hexes("h"), 1, 40))
         .when(kind == 2, F.expr("substring(sha2(concat('p', cast(id as string)), 256), 1, 18)"))
         .when(kind == 3, F.concat(pick(["ghp_", "sk_live_", "xoxb-"], "g"), F.substring(mixed, 1, 36)))
