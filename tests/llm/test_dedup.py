@@ -215,3 +215,23 @@ def test_probes_recall(spark):
     p, q = embedding_dedup.probes(a), embedding_dedup.probes(b)
     met = np.any([(p[:, t] == q[:, t, :1]).any(1) | (q[:, t] == p[:, t, :1]).any(1) for t in range(embedding_dedup.TABLES)], axis=0)
     assert met.mean() > 0.999
+
+
+def test_lines_with_changed_words_are_found(spark):
+    """Against plain edit similarity: each line has a copy with a fifth of its words, or of a word's letters, changed."""
+    import random
+
+    rnd = random.Random(11)
+    texts, pairs = [], []
+    for k in range(400):
+        words = [X.word(rnd) for _ in range(rnd.choice([3, 4, 5, 8, 12, 20, 40]))]
+        other = list(words)
+        for at in rnd.sample(range(len(words)), max(1, len(words) // 6)):
+            other[at] = X.word(rnd) if len(words) > 5 else other[at][:-1] + "x"
+        a, b = " ".join(words), " ".join(other)
+        if a != b and 100 * distance(a, b) <= 20 * max(len(a), len(b)):
+            pairs.append(len(texts))
+            texts += [a, b]
+    assert len(pairs) > 250
+    gone = {r.doc_id for r in line_dedup.dedup_lines(X.frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).where("__gone = 1").collect()}
+    assert len([k for k in pairs if k + 1 in gone]) >= 0.98 * len(pairs)
