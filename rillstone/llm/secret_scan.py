@@ -16,24 +16,32 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+# The telling end of a name that a credential is assigned to, what follows in the name, and quotes.
+NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[A-Za-z0-9_.-]*+(?:\\?[\"'])?\]?\s{0,3}(?:=>|:=|[=:])\s{0,3}(?:\\?[\"'])?"
+# An address up to the password in it.
+URL = r"(?i:[a-z][a-z0-9+.-]*+)://[^\s:/?#@\"']*+:"
 # Shapes of credentials, by kind.
 KINDS = {
-    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "aws_key": r"A[KS]IA[0-9A-Z]{16}",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36}",
     "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "stripe_key": r"[sr]k_live_[A-Za-z0-9]{16,}",
     "google_key": r"AIza[A-Za-z0-9_-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "gitlab_token": r"glpat-[A-Za-z0-9_-]{20,}",
+    "github_pat": r"github_pat_[A-Za-z0-9_]{22,}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "assigned": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{8,}",
+    "url": URL + r"[^\s/@\"']+@",
+    "assigned": NAME + r"[^\s\"']{7,}[^\s\"'\\]",
 }
 # Words that secrets do not consist of, and that stand beside true and false findings.
 DICTIONARY = ("password", "changeme", "example", "placeholder", "secret", "sample", "dummy", "test", "your", "here", "token", "value", "fake", "none", "null", "admin", "default", "insert", "replace", "correct", "horse", "battery", "staple", "letmein", "welcome", "qwerty", "key")
 DOUBTFUL = ("example", "sample", "dummy", "fake", "placeholder", "commit", "sha1", "checksum", "md5", "hash", "digest", "uuid")
 TELLING = ("key", "token", "secret", "password", "credential", "login", "access", "auth")
 PATHS = ("test", "example", "fixture", "mock", "sample", "docs")
-PATTERN = r"(?<![A-Za-z0-9_])(?:" + "|".join(KINDS.values()) + ")"
-VALUE = r"^(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?"
+# names such as DB_PASSWORD have their telling word inside, so that only the other shapes start where a word does
+PATTERN = r"(?:(?<![A-Za-z0-9_])(?:" + "|".join(list(KINDS.values())[:-1]) + ")|" + KINDS["assigned"] + ")"
+VALUE = f"^{NAME}"
 FEATURES = ("length", "transitions", "digits", "distinct", "covered", "odd_path", "doubtful", "telling")
 TREES, DEPTH, FINDINGS = 40, 7, 6000
 
@@ -104,7 +112,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         kind = F.when(F.col("found").rlike(f"^(?:{shape})"), name).otherwise(kind)
     return each.select(
         "doc_id", F.col("number").cast("long").alias("number"), kind.alias("kind"), (before + F.length("gap")).cast("long").alias("start"),
-        "found", F.regexp_replace("found", VALUE, "").alias("value"),
+        "found", F.when(kind == "url", F.regexp_replace("found", f"^{URL}|@$", "")).otherwise(F.regexp_replace("found", VALUE, "")).alias("value"),
         F.regexp_extract("gap", r"((?:\S+\s+){0,2}\S*)\s*$", 1).alias("before"),
         F.regexp_extract("next", r"^\s*((?:\S+\s+){0,2}\S*)", 1).alias("after"), "path",
     )

@@ -410,6 +410,17 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(X.frame(spark, [])).count() == 0
 
 
+def test_secrets_in_names_quotes_and_addresses(spark):
+    key = "a1dbe0392ed16c4193"
+    forms = [
+        f"DB_PASSWORD={key}", f"export MY_API_KEY={key}", f"GITHUB_TOKEN={key}", f"AWS_SECRET_ACCESS_KEY={key}", f'{{"password": "{key}"}}', f"'api_key': '{key}',",
+        f'os.environ["DB_TOKEN"] = "{key}"', f'"{{\\"secret\\": \\"{key}\\"}}"', f":token => '{key}'", f"postgres://app:{key}@db.local/x", f"password={key}",
+    ]
+    found = secret_scan.scan_secrets(X.frame(spark, [(k, f, None, "src1", 0) for k, f in enumerate(forms)])).collect()
+    assert {r.doc_id: r.value for r in found} == dict.fromkeys(range(len(forms)), key) and len(found) == len(forms)
+    assert all(r.is_secret for r in found)
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     from pyspark.ml.feature import VectorAssembler
 
