@@ -22,8 +22,8 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
-#: Stretches longer than this many bytes are cut in parts of that length at character starts, each found alone.
-LONG = 512
+#: Characters of a table of long stretches; one that is longer has a table of its own.
+CELLS = 1_000_000
 #: Stretches that one task remembers at most; beyond it starts anew.
 REMEMBERED = 400_000
 
@@ -234,8 +234,8 @@ class Unigram:
         return [np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(texts)]
 
     def paths_of(self, found: list[str]) -> list[tuple[int, ...]]:
-        """As paths(), for stretches as the text has them: without the marker, which is put before all but parts of
-        long ones, and with the text's own U+2581 as bytes."""
+        """As paths(), for stretches as the text has them: without the marker, which is put before all, and with the
+        text's own U+2581 as bytes."""
         out: list = [None] * len(found)
         mark = MARK.encode()
         short = [i for i, s in enumerate(found) if len(s) < 48 and MARK not in s]
@@ -260,17 +260,19 @@ class Unigram:
                 if k:
                     row.append(own)
                 marked = piece if k else MARK + piece
-                for at in range(0, len(marked), LONG):
+                if marked:
                     row.append(len(parts))
-                    parts.append(marked[at : at + LONG])
+                    parts.append(marked)
             plan.append(row)
-        # long ones apart, so that a table is as wide as its stretches
+        # in order of length, so that a table is about as wide as its stretches
         ids: dict[int, tuple[int, ...]] = {}
-        for low, high in ((0, 48), (48, 10**9)):
-            of = [i for i, p in enumerate(parts) if low <= len(p) < high]
-            for start in range(0, len(of), 20_000 if high < 10**9 else 1_000):
-                some = of[start : start + (20_000 if high < 10**9 else 1_000)]
-                ids.update(zip(some, self._block([parts[i].encode("utf-8", "surrogatepass") for i in some]), strict=True))
+        some: list[int] = []
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        for k, i in enumerate(order):
+            some.append(i)
+            if k + 1 == len(order) or (len(some) + 1) * len(parts[order[k + 1]]) > CELLS:
+                ids.update(zip(some, self._block([parts[x].encode("utf-8", "surrogatepass") for x in some]), strict=True))
+                some = []
         return [sum((ids[x] if isinstance(x, int) else x for x in row), ()) for row in plan]
 
     def decode(self, ids: list[int]) -> str:

@@ -201,6 +201,15 @@ def test_viterbi_is_best_and_exact(coder):
             assert math.isclose(own, score, abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("stretch", ["international" * 200, "the\tquick\nbrownfox" * 150, "東京都の天気" * 300])
+def test_long_stretches_have_their_best_path(coder, stretch):
+    ids = coder.paths_of([stretch])[0]
+    pieces = [i for i in ids if coder.pieces.kinds[i] != unigram.BYTE]
+    covered = sum(len(coder.pieces.texts[i]) for i in pieces)
+    own = sum(coder.scores[i] for i in pieces) + coder.uncovered * (len(stretch) + 1 - covered)
+    assert math.isclose(own, naive_paths(coder, unigram.MARK + stretch)[0], abs_tol=1e-6)
+
+
 def test_it_segments_as_the_public_library_does(coder):
     import sentencepiece as sp
     from sentencepiece import sentencepiece_model_pb2 as pb
