@@ -167,8 +167,21 @@ def correlation_metadata(own_id, parent_correlation=None, parent_id=None) -> Col
     return F.to_json(F.struct(corr.alias("$correlationId"), caus.alias("$causationId")))
 
 
-#: Words that PostgreSQL reserves and that an identifier therefore quotes.
-RESERVED = frozenset("all and any array as asc check collate column create default desc distinct do else end except false fetch for from grant group having in intersect into is join left like limit natural not null offset on only or order outer primary references right select some table then to true union unique user using when where with".split())
+#: Reserved words, which an identifier quotes.
+RESERVED = frozenset(
+    """
+    AES128 AES256 ALL ALLOWOVERWRITE ANALYSE ANALYZE AND ANY ARRAY AS ASC AUTHORIZATION BACKUP BETWEEN BINARY BLANKSASNULL
+    BOTH BYTEDICT CASE CAST CHECK COLLATE COLUMN CONSTRAINT CREATE CREDENTIALS CROSS CURRENT_DATE CURRENT_TIME
+    CURRENT_TIMESTAMP CURRENT_USER CURRENT_USER_ID DEFAULT DEFERRABLE DEFLATE DEFRAG DELTA DELTA32K DESC DISABLE DISTINCT DO
+    ELSE EMPTYASNULL ENABLE ENCODE ENCRYPT ENCRYPTION END EXCEPT EXPLICIT FALSE FOR FOREIGN FREEZE FROM FULL GLOBALDICT256
+    GLOBALDICT64K GRANT GROUP GZIP HAVING IDENTITY IGNORE ILIKE IN INITIALLY INNER INTERSECT INTO IS ISNULL JOIN LEADING
+    LEFT LIKE LIMIT LOCALTIME LOCALTIMESTAMP LUN LUNS LZO LZOP MINUS MOSTLY13 MOSTLY32 MOSTLY8 NATURAL NEW NOT NOTNULL NULL
+    NULLS OFF OFFLINE OFFSET OLD ON ONLY OPEN OR ORDER OUTER OVERLAPS PARALLEL PARTITION PERCENT PLACING PRIMARY RAW
+    READRATIO RECOVER REFERENCES REJECTLOG RESORT RESTORE RIGHT SELECT SESSION_USER SIMILAR SOME SYSDATE SYSTEM TABLE TAG
+    TDES TEXT255 TEXT32K THEN TO TOP TRAILING TRUE TRUNCATECOLUMNS UNION UNIQUE USER USING VERBOSE WALLET WHEN WHERE WITH
+    WITHOUT
+    """.lower().split()
+)
 
 
 def quote_identifier(name: str) -> str:

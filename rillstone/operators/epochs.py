@@ -48,7 +48,7 @@ def flattened(spans: Iterable[StreamSpan]) -> list[StreamSpan]:
         if known is None:
             by[s.stream] = s
         elif s.index > known.next:
-            raise GapError(f"Invalid gap of {s.index - known.next} at {s.index} in {s.stream!r}")
+            raise GapError(f"{s.stream}: span at {s.index} where {known.next} was to follow")
         elif s.next > known.next:
             by[s.stream] = StreamSpan(s.stream, known.index, known.types + s.since(known.next).types)
     return list(by.values())
@@ -73,7 +73,7 @@ class Epoch:
         if head is None:
             return span
         if span.index > head:
-            raise GapError(f"Invalid gap of {span.index - head} at {span.index} in {span.stream!r}")
+            raise GapError(f"{span.stream}: span at {span.index} where {head} was to follow")
         return span.since(head) if span.next > head else None
 
     def residual(self, spans: Iterable[StreamSpan]) -> list[StreamSpan]:

@@ -49,19 +49,23 @@ def invoice(log: DataFrame) -> DataFrame:
 
     A payment counts once for each reference. illegal counts transitions that a strict fold refuses: events before the
     invoice is raised, a second raise, or anything after it is finalized."""
-    w = Window.partitionBy("stream_name", "reference").orderBy("position")
-    marked = log.withColumn("repeat", (F.col("type") == "PaymentReceived") & (F.row_number().over(w) > 1))
     is_ = lambda t: F.col("type") == t
-    per = marked.groupBy("stream_name").agg(
+    paid = is_("PaymentReceived")
+    # a row for each reference of a stream, and one for what is no payment: the first of its reference needs no window
+    each = log.groupBy("stream_name", F.when(paid, F.col("reference")).alias("reference"), paid.alias("paid")).agg(
+        F.min_by("amount", "position").alias("first"),
         F.sum(F.when(is_("InvoiceRaised"), F.col("amount"))).alias("amount"),
         F.max(F.when(is_("InvoiceRaised"), F.col("payer"))).alias("payer"),
-        F.sum(F.when(is_("PaymentReceived") & ~F.col("repeat"), F.col("amount"))).alias("paid"),
-        F.sum(F.when(is_("PaymentReceived") & ~F.col("repeat"), 1).otherwise(0)).alias("references"),
         F.sum(F.when(is_("InvoiceRaised"), 1).otherwise(0)).alias("raises"),
         F.min(F.when(is_("InvoiceRaised"), F.col("position"))).alias("raised_at"),
         F.min(F.when(is_("InvoiceFinalized"), F.col("position"))).alias("final_at"),
         F.max("position").alias("last"),
     )
+    per = each.groupBy("stream_name").agg(
+        F.sum("amount").alias("amount"), F.max("payer").alias("payer"), F.sum(F.when(F.col("paid"), F.col("first"))).alias("paid"),
+        F.sum(F.when(F.col("paid"), 1).otherwise(0)).alias("references"), F.sum("raises").alias("raises"),
+        F.min("raised_at").alias("raised_at"), F.min("final_at").alias("final_at"), F.max("last").alias("last"),
+    )
     status = F.when(F.col("raised_at").isNull(), "initial").when(F.col("final_at").isNotNull(), "finalized").otherwise("raised")
     illegal = F.coalesce(F.col("raised_at"), F.col("last") + 1) + F.greatest(F.col("raises") - 1, F.lit(0)) + F.coalesce(F.col("last") - F.col("final_at"), F.lit(0))
     return per.select(
@@ -102,33 +106,32 @@ def group_checkout(stays: DataFrame, payments: DataFrame) -> DataFrame:
     return both.select("group", "stays", "merged", "failed", "balance", action.alias("next_action"))
 
 
-#: State of a cart: its lines in the order they were added.
+#: State of a cart: its lines, the last added first.
 CART = "array<struct<sku:string,quantity:bigint,waived:boolean>>"
 
 
 def cart(log: DataFrame) -> DataFrame:
-    """(stream_name, state, version) of carts with events (type, sku, quantity, waived): ItemAdded appends, ItemRemoved
-    and a quantity of 0 drop a line, ItemQuantityChanged and ItemPropertiesChanged set it."""
+    """(stream_name, state, version) of carts with events (type, sku, quantity, waived, and items, a CART, or without that
+    column): ItemAdded puts a line first, ItemRemoved drops a sku's lines, ItemQuantityChanged and ItemPropertiesChanged set
+    them (a quantity of 0 stays a line), Snapshotted replaces all lines. waived is null until it is set."""
+    log = log if "items" in log.columns else log.withColumn("items", F.lit(None).cast(CART))
 
     def line(e, quantity, waived):
         return F.struct(e["sku"].alias("sku"), quantity.alias("quantity"), waived.alias("waived"))
 
-    def without(s, e):
-        return F.filter(s, lambda x: x["sku"] != e["sku"])
+    def each(s, e, quantity, waived):
+        return F.transform(s, lambda x: F.when(x["sku"] == e["sku"], line(x, quantity(x), waived(x))).otherwise(x))
 
     step = by_handlers(
         {
-            "ItemAdded": lambda s, e: F.concat(s, F.array(line(e, e["quantity"], F.coalesce(e["waived"], F.lit(False))))),
-            "ItemRemoved": without,
-            "ItemQuantityChanged": lambda s, e: F.when(e["quantity"] == 0, without(s, e)).otherwise(
-                F.transform(s, lambda x: F.when(x["sku"] == e["sku"], line(x, e["quantity"], x["waived"])).otherwise(x))
-            ),
-            "ItemPropertiesChanged": lambda s, e: F.transform(
-                s, lambda x: F.when(x["sku"] == e["sku"], line(x, x["quantity"], e["waived"])).otherwise(x)
-            ),
+            "Snapshotted": lambda s, e: F.coalesce(e["items"], F.array().cast(CART)),
+            "ItemAdded": lambda s, e: F.concat(F.array(line(e, e["quantity"], e["waived"])), s),
+            "ItemRemoved": lambda s, e: F.filter(s, lambda x: x["sku"] != e["sku"]),
+            "ItemQuantityChanged": lambda s, e: each(s, e, lambda x: e["quantity"], lambda x: x["waived"]),
+            "ItemPropertiesChanged": lambda s, e: each(s, e, lambda x: x["quantity"], lambda x: e["waived"]),
         }
     )
-    return ordered(log, F.array().cast(CART), step, "type", "sku", "quantity", "waived")
+    return ordered(log, F.array().cast(CART), step, "type", "sku", "quantity", "waived", "items")
 
 
 def bounded_counter(log: DataFrame, up: str, down: str, low: int = 0, high: int = 10) -> DataFrame:

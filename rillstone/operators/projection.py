@@ -80,10 +80,18 @@ def project(table: DataFrame, changes: DataFrame, keys: list[str], version: str
 
 
 def handler(store, name: str, keys: list[str], version: str | None, to_changes: Callable[[DataFrame], DataFrame]) -> Callable:
-    """A foreachBatch function that keeps a read model in `store` (read(name), replace(name, df)); to_changes makes
+    """A foreachBatch function that keeps a read model in `store`, a LogStore; to_changes makes
     (keys, seq, action, data) of a micro-batch. With a version column a batch that comes again changes nothing."""
 
+    from ..sources.store import retried
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        store.replace(name, project(store.read(name), to_changes(batch), keys, version))
+        def once():
+            at = store.at(name)
+            if at is None:
+                raise KeyError(name)
+            store.replace(name, project(batch.sparkSession.read.parquet(at), to_changes(batch), keys, version), at)
+
+        retried(once)
 
     return run

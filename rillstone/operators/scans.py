@@ -34,7 +34,7 @@ def category_messages(
         if size < 1 or not 0 <= member < size:
             raise ValueError(f"member {member} is not in a group of {size}")
         found = found.where(N.group_member("stream_name", size) == member)
-    return page(where(found, condition, allow_condition), "global_position", batch_size)
+    return page(where(found, condition, allow_condition), "global_position", batch_size, sort_all=False)
 
 
 def where(rows: DataFrame, condition: str | None, allowed: bool) -> DataFrame:
@@ -45,10 +45,13 @@ def where(rows: DataFrame, condition: str | None, allowed: bool) -> DataFrame:
     return rows.where(f"({condition})")
 
 
-def page(rows: DataFrame, order: str, batch_size: int | None) -> DataFrame:
-    rows = rows.orderBy(order)
+def page(rows: DataFrame, order: str, batch_size: int | None, sort_all: bool = True) -> DataFrame:
+    """The first rows in order. Without a limit (-1) a whole category is not sorted: readers that need its order, which a
+    distributed result has not, sort what they take."""
     size = 1000 if batch_size is None else batch_size
-    return rows if size == -1 else rows.limit(size)
+    if size == -1:
+        return rows.orderBy(order) if sort_all else rows
+    return rows.orderBy(order).limit(size)
 
 
 def pages(log: DataFrame, stream: str, from_position: int, batch_size: int, max_batches: int | None = None) -> DataFrame:
@@ -125,9 +128,16 @@ def range_read(log: DataFrame, stream: str, low: int, high: int, max_count: int
     return found if max_count is None else found.limit(max_count)
 
 
-def walk(log: DataFrame, stream: str, backwards: bool = False):
-    """Events one by one, a partition at a time at the driver."""
-    return range_read(log, stream, 0, 2**62, None, backwards).toLocalIterator()
+def walk(log: DataFrame, stream: str, backwards: bool = False, max_items: int = 100):
+    """A stream as lists of at most max_items events, read as they are asked for, a partition at a time at the driver."""
+    page_: list = []
+    for row in range_read(log, stream, 0, 2**62, None, backwards).toLocalIterator():
+        page_.append(row)
+        if len(page_) == max_items:
+            yield page_
+            page_ = []
+    if page_:
+        yield page_
 
 
 def as_batches(log: DataFrame, size: int) -> DataFrame:
@@ -140,10 +150,13 @@ def as_batches(log: DataFrame, size: int) -> DataFrame:
     return grouped.withColumn("etag", F.md5(F.concat_ws(":", "stream_name", F.col("n").cast("string"))))
 
 
-def batch_range(batches: DataFrame, min_n: int, max_i: int | None = None) -> DataFrame:
-    """Batches that end beyond min_n and start before max_i."""
+def batch_range(batches: DataFrame, min_n: int, max_i: int | None = None, backwards: bool = False, limit: int | None = None, indexes_only: bool = False) -> DataFrame:
+    """Batches that end beyond min_n and start before max_i, from either end; indexes_only gives i, c and n alone, so that
+    bodies are not read."""
     found = batches.where(F.col("n") > min_n)
-    return found if max_i is None else found.where(F.col("i") < max_i)
+    found = found if max_i is None else found.where(F.col("i") < max_i)
+    found = found.select("stream_name", "i", "c", "n") if indexes_only else found
+    return found if limit is None else found.orderBy(F.desc("i") if backwards else F.asc("i"), "stream_name").limit(limit)
 
 
 def tip_read(batches: DataFrame, known: DataFrame) -> DataFrame:
@@ -171,9 +184,21 @@ def missing_origin(events: DataFrame) -> DataFrame:
     return events.groupBy("stream_name").agg(F.min("position").alias("first")).where("first > 0")
 
 
+def loaded(tip: DataFrame, primary: DataFrame, archive: DataFrame | None = None, ignore_missing: bool = False) -> DataFrame:
+    """Each stream from its origin: the tip, before it the primary store's events and before these the archive's. A stream
+    whose first event none of them has raises, or is given from where it begins if ignore_missing."""
+    every = stitched(primary, tip) if archive is None else stitched(archive, primary, tip)
+    if ignore_missing:
+        return every
+    first = F.min("position").over(Window.partitionBy("stream_name"))
+    lost = F.raise_error(F.concat(F.lit("origin event not found in "), F.col("stream_name")))
+    return every.withColumn("__first", first).withColumn("position", F.when(F.col("__first") > 0, lost.cast("long")).otherwise(F.col("position"))).drop("__first")
+
+
 def replay(writes: DataFrame, from_ordinal: int) -> DataFrame:
     """Deliveries of a volatile store: each write from an ordinal on delivers its whole stream up to that write.
-    writes: (ordinal, stream_name, position, ...)."""
+    writes: (ordinal, stream_name, position, ...). What is delivered grows with the square of a stream's writes by
+    definition; rows are made where they are used, one event at a time, and no stream is held together."""
     deliveries = writes.where(F.col("ordinal") >= from_ordinal).select(F.col("ordinal").alias("delivery"), "stream_name").distinct()
     return deliveries.join(writes, "stream_name").where("ordinal <= delivery")
 
@@ -189,8 +214,10 @@ def dumped(log: DataFrame, stream: str) -> DataFrame:
     return found.select(F.to_json(F.struct("position", "type", "data")).alias("line"))
 
 
-def lead_times(batch: DataFrame, now) -> DataFrame:
-    """(stream_name, events, lead_ms) of a batch: how far each stream's last event lies before `now`."""
+def lead_times(batch: DataFrame, now=None) -> DataFrame:
+    """(stream_name, events, lead_ms) of a batch: how far each stream's last event lies before `now`, by default the last
+    event of all."""
     per = batch.groupBy("stream_name").agg(F.count("*").alias("events"), F.max("time").alias("t"))
-    ms = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp"))
-    return per.select("stream_name", "events", F.floor(ms / 1000).alias("lead_ms"))
+    top = per.agg(F.max("t").alias("__now")) if now is None else per.sparkSession.range(1).select(F.lit(now).cast("timestamp_ntz").alias("__now"))
+    ms = F.unix_micros(F.col("__now").cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp"))
+    return per.crossJoin(F.broadcast(top)).select("stream_name", "events", F.floor(ms / 1000).alias("lead_ms"))

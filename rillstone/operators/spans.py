@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,14 +81,20 @@ def flatten(spans: DataFrame) -> DataFrame:
     return grouped.select("stream_name", F.aggregate("s", zero, step).alias("x")).select("stream_name", "x.*")
 
 
-def required(log: DataFrame) -> DataFrame:
-    """(stream_name, required_index): the index a stream must reach before a batch of events is done."""
-    return log.groupBy("stream_name").agg((F.max("position") + 1).alias("required_index"))
+def required(log: DataFrame, *batch: str) -> DataFrame:
+    """(batch columns, stream_name, required_index): the index a stream must reach before a batch of events is done."""
+    return log.groupBy(*batch, "stream_name").agg((F.max("position") + 1).alias("required_index"))
 
 
-def still_required(batch: DataFrame, progress: DataFrame) -> DataFrame:
+def still_required(log: DataFrame, progress: DataFrame, *batch: str) -> DataFrame:
     """Requirements that streams have not met yet; progress: (stream_name, next_index)."""
-    return required(batch).join(progress, "stream_name", "left").where("required_index > coalesce(next_index, 0)").drop("next_index")
+    met = required(log, *batch).join(progress, "stream_name", "left").where("required_index > coalesce(next_index, 0)")
+    return met.select(*batch, "stream_name", "required_index")
+
+
+def gap_before(head: str, write: str) -> Column:
+    """has_gap() as a column."""
+    return F.coalesce((F.col(write) >= 0) & (F.col(head) != F.col(write)), F.lit(False))
 
 
 def high_water(spans: DataFrame) -> DataFrame:

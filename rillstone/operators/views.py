@@ -1,4 +1,4 @@
-"""Summaries and explorer queries. All aggregate before anything moves; a total is a window over the groups' sums."""
+"""Summaries and explorer queries. All aggregate before anything moves; a total is the sum of the groups' counts."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..sources.shared import written
 
 
 def summary(log: DataFrame, *keys: str) -> DataFrame:
-    """(keys, message_count, percent): counts and their share of all messages, to two places."""
+    """(keys, message_count, percent): counts and their share of all messages, to two places. The log is counted once; the
+    total is the sum of the groups, one row that is broadcast."""
     groups = log.groupBy(*keys).agg(F.count("*").alias("message_count"))
-    total = log.agg(F.count("*").alias("__total"))
-    # one row, so the other side is never moved
+    total = groups.agg(F.sum("message_count").alias("__total"))
+    # one row, so the other side is never moved; both sides share the exchange of the groups
     return groups.crossJoin(F.broadcast(total)).select(
         *keys, "message_count", F.round(F.col("message_count") / F.col("__total") * 100, 2).alias("percent")
     )
@@ -63,20 +65,26 @@ def recent_distinct_streams(log: DataFrame, n: int = 20) -> DataFrame:
     return last.orderBy(F.desc("global_position")).limit(n)
 
 
-def causation_tree(edges: DataFrame, depth: int = 50) -> DataFrame:
-    """(id, root, level) from edges (id, cause); a root is its own cause. An event whose cause is not at hand has no
-    root and is left out. Each round is one join on the ids of the last level."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    return spark.sql(
-        f"""
-        with recursive tree(id, root, level) max recursion level {depth * 2} as (
-          select id, id, 0 from __edges where id = cause
-          union all
-          select e.id, t.root, t.level + 1 from __edges e join tree t on e.cause = t.id where e.id <> e.cause
-        ) select id, root, cast(level as bigint) as level from tree
-        """
-    )
+def causation_tree(edges: DataFrame) -> DataFrame:
+    """(id, root, level) from edges (id, cause); a root is its own cause. An event whose chain of causes ends at one that is
+    not at hand, or runs in a circle, has no root and is left out.
+
+    Pointers double: each round joins every open event with the one its pointer has come to, so a chain of n events takes
+    log2(n) rounds, whatever n; each round is a written table."""
+    state = edges.groupBy("id").agg(F.min("cause").alias("up")).withColumn("level", F.when(F.col("id") == F.col("up"), 0).otherwise(1).cast("long"))
+    state = written(state.withColumn("open", F.col("id") != F.col("up")), "causation")
+    before = None
+    while True:
+        left = state.where("open").agg(F.count("*").alias("n"), F.sum("level").alias("steps")).first()
+        # pointers that only run in circles double their steps without end; no chain has more steps than there are events
+        if not left.n or (before is not None and left.n == before and left.steps > 2 * left.n * state.count()):
+            break
+        before = left.n
+        to = state.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("level").alias("more"), F.col("open").alias("on"))
+        moved = state.where("open").join(to, "up")  # a cause that is not at hand ends here
+        moved = moved.select("id", F.col("further").alias("up"), (F.col("level") + F.col("more")).alias("level"), F.col("on").alias("open"))
+        state = written(state.where("not open").unionByName(moved), "causation")
+    return state.where("not open").select("id", F.col("up").alias("root"), "level")
 
 
 def version_and_bytes(log: DataFrame) -> DataFrame:

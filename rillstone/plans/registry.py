@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import codec, epochs, folds, projection, scans, snapshots, spans, views
 from ..sources import logs
+from ..sources.shared import shared_path
 from ..sources.tables import read
 
 QUERIES: dict[str, Callable] = {}
@@ -106,8 +107,10 @@ def events_by_category(spark, d):
 select time::date::varchar as day, count(*) as count from log, p where time between last - interval 7 day and last + interval 1 day - interval 1 microsecond group by 1""")
 def events_by_day(spark, d):
     log = user(spark, d)
-    last = log.agg(F.max(F.to_date("time")).alias("last")).first()[0]
-    return views.events_by_day(log, F.date_sub(F.lit(last), 7), F.expr(f"timestamp_ntz'{last} 23:59:59.999999'"), "User")
+    # the last day is one row that is broadcast; nothing is asked of the log while the query is made
+    last = read(spark, d, "events").agg(F.max(F.to_date("ts")).alias("last"))
+    low, high = F.date_sub("last", 7), F.col("last").cast("timestamp_ntz") + F.expr("interval '1' day - interval '0.000001' second")
+    return views.events_by_day(log.crossJoin(F.broadcast(last)), low, high, "User")
 
 
 @query(f"with {USER} select global_position, stream_name, type, time from log order by global_position desc limit 20")
@@ -288,8 +291,7 @@ def batch_prune(spark, d):
 
 @query(f"with {USER}, m as (select max(time) as t from log) select stream_name, count(*) as events, (epoch_us((select t from m)) - epoch_us(max(time))) // 1000 as lead_ms from log group by 1")
 def lead_times(spark, d):
-    log = user(spark, d)
-    return scans.lead_times(log, log.agg(F.max("time")).first()[0])
+    return scans.lead_times(user(spark, d))
 
 
 @query(f"with {USER} select position, type from log where stream_name = 'User-2'")
@@ -475,15 +477,43 @@ def appointment_actuals(spark, d):
     return out
 
 
-@query(None)
+CART = f"""{USER}, rows as (
+  select stream_name, position, type, 'sku' || (global_position % 5) as sku, round(value)::bigint as quantity, value > 50 as waived, 'sku' || (position % 3) as kept from log
+), walk(stream_name, position, items) as (
+  select stream_name, -1::bigint, []::struct(sku varchar, quantity bigint, waived boolean)[] from (select distinct stream_name from log)
+  union all
+  select r.stream_name, r.position, case r.type
+    when 'click' then list_prepend({{'sku': r.sku, 'quantity': r.quantity, 'waived': r.waived}}, w.items)
+    when 'view' then list_prepend({{'sku': r.sku, 'quantity': r.quantity, 'waived': null::boolean}}, w.items)
+    when 'purchase' then list_filter(w.items, lambda x: x.sku <> r.sku)
+    when 'error' then list_transform(w.items, lambda x: case when x.sku = r.sku then {{'sku': x.sku, 'quantity': r.quantity % 3, 'waived': x.waived}} else x end)
+    when 'signup' then case when r.position % 2 = 0 then [{{'sku': r.kept, 'quantity': r.position, 'waived': null::boolean}}]
+      else list_transform(w.items, lambda x: case when x.sku = r.sku then {{'sku': x.sku, 'quantity': x.quantity, 'waived': r.waived}} else x end) end
+    else w.items end
+  from walk w join rows r on r.stream_name = w.stream_name and r.position = w.position + 1
+), last as (
+  select stream_name, arg_max(items, position) as items, max(position) + 1 as version from walk group by 1
+)"""
+
+
+@query(f"""with recursive {CART} select stream_name, len(items)::int as lines,
+  array_to_string(list_transform(items, lambda x: x.sku || ':' || x.quantity || ':' || coalesce(x.waived::varchar, '-')), ',') as state, version from last""")
 def cart_items(spark, d):
     log = user(spark, d)
-    kinds = {"click": "ItemAdded", "view": "ItemAdded", "purchase": "ItemRemoved", "error": "ItemQuantityChanged", "signup": "ItemPropertiesChanged"}
+    odd = F.col("position") % 2 == 1
+    kinds = {"click": "ItemAdded", "view": "ItemAdded", "purchase": "ItemRemoved", "error": "ItemQuantityChanged", "signup": "Snapshotted"}
     type_ = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("type")]
-    sku = F.concat(F.lit("sku"), F.pmod(F.col("global_position"), F.lit(5)).cast("string"))
-    rows = log.select("stream_name", "position", type_.alias("type"), sku.alias("sku"), F.round("value").cast("long").alias("quantity"), (F.col("value") > 50).alias("waived"))
+    type_ = F.when((F.col("type") == "signup") & odd, "ItemPropertiesChanged").otherwise(type_)
+    sku = F.concat(F.lit("sku"), (F.col("global_position") % 5).cast("string"))
+    quantity = F.round("value").cast("long")
+    kept = F.array(F.struct(F.concat(F.lit("sku"), (F.col("position") % 3).cast("string")).alias("sku"), F.col("position").alias("quantity"), F.lit(None).cast("boolean").alias("waived")))
+    rows = log.select(
+        "stream_name", "position", type_.alias("type"), sku.alias("sku"), F.when(F.col("type") == "error", quantity % 3).otherwise(quantity).alias("quantity"),
+        F.when(F.col("type") != "view", F.col("value") > 50).alias("waived"), F.when((F.col("type") == "signup") & ~odd, kept).alias("items"),
+    )
     out = folds.cart(rows)
-    return out.select("stream_name", F.size("state").alias("lines"), F.to_json("state").alias("state"), "version")
+    line = lambda x: F.concat_ws(":", x["sku"], x["quantity"].cast("string"), F.coalesce(x["waived"].cast("string"), F.lit("-")))
+    return out.select("stream_name", F.size("state").alias("lines"), F.array_join(F.transform("state", line), ",").alias("state"), "version")
 
 
 @query(f"""with recursive {USER}, walk(stream_name, position, state) as (
@@ -564,9 +594,10 @@ def payer_lookup(spark, d):
 @query(f"""with {USER}, c as (select stream_name, type from log), p as (select stream_name, not bool_or(type = 'signup') as ok from c group by 1)
 select substr(stream_name, 6)::bigint % 10 as "group", stream_name as stay, case when ok then 'merged' else 'failed' end as outcome from p""")
 def checkout_fanout(spark, d):
-    """Groups are exploded to their stays, joined with the stays' states and split by whether they can be merged."""
+    """A row for each stay of a group, joined with the stays' states and split by whether they can be merged."""
     stays = stays_of(spark, d)
-    groups = stays.groupBy("group").agg(F.collect_list("stream_name").alias("stays")).select("group", F.explode("stays").alias("stay"))
+    # a group's stays stay rows; gathered into an array, one group could fill a task
+    groups = stays.select("group", F.col("stream_name").alias("stay")).distinct()
     joined = groups.join(stays.select(F.col("stream_name").alias("stay"), "ok"), "stay", "left")
     return joined.select("group", "stay", F.when(F.col("ok"), "merged").otherwise("failed").alias("outcome"))
 
@@ -620,11 +651,13 @@ def high_water_marks(spark, d):
     return spans.high_water(spans.spans_of(user(spark, d), 4))
 
 
-@query(f"with {USER} select stream_name, max(position) + 1 as required_index from log where global_position between 100 and 600 group by 1 having max(position) + 1 > coalesce((select count(*) from log m where m.stream_name = log.stream_name and m.global_position < 300), 0)")
+@query(f"""with {USER}, b as (select *, (global_position - 1) // 500 as batch from log), p as (select stream_name, max(position) + 1 as next_index from log where position % 3 = 0 group by 1),
+r as (select batch, stream_name, max(position) + 1 as required_index from b group by 1, 2) select batch, stream_name, required_index from r left join p using (stream_name) where required_index > coalesce(next_index, 0)""")
 def batch_requirements(spark, d):
-    log = user(spark, d)
-    progress = log.where("global_position < 300").groupBy("stream_name").agg(F.count("*").alias("next_index"))
-    return spans.still_required(log.where("global_position between 100 and 600"), progress)
+    """What each batch of 500 global positions of the whole log still requires, given how far its streams have come."""
+    log = user(spark, d).withColumn("batch", F.expr("(global_position - 1) div 500"))
+    progress = log.where("position % 3 = 0").groupBy("stream_name").agg((F.max("position") + 1).alias("next_index"))
+    return spans.still_required(log, progress, "batch")
 
 
 @query(f"with {USER} select stream_name, position, type, value from log where (position // 4) % 2 = 0")
@@ -638,23 +671,24 @@ def span_index_only(spark, d):
     return spans.index_only(spans.spans_of(user(spark, d), 4))
 
 
-@query(f"with {USER} select stream_name, (position // 5) * 5 + 3 as i, string_agg(type, ',' order by position) as c from log where position % 5 >= 3 group by stream_name, position // 5 having count(*) = 2")
+@query(f"with {USER} select stream_name, max(position) + 1 - least(count(*), 2) as i, string_agg(type, ',' order by position) filter (where rn <= 2) as c from (select *, row_number() over (partition by stream_name, position // 5 order by position desc) as rn from log) group by stream_name, position // 5")
 def change_parse(spark, d):
-    batches = scans.as_batches(user(spark, d), 5).where("n - i = 5")
-    records = batches.select(F.when(F.col("b") % 2 == 0, "INSERT").otherwise("MODIFY").alias("op"), "stream_name", "n", F.lit(2).alias("a"), "c")
+    batches = scans.as_batches(user(spark, d), 5)
+    records = batches.select(F.when(F.col("b") % 2 == 0, "INSERT").otherwise("MODIFY").alias("op"), "stream_name", "n", F.least(F.size("c"), F.lit(2)).alias("a"), "c")
     gone = records.limit(5).withColumn("op", F.lit("REMOVE"))
     system = records.limit(5).withColumn("stream_name", F.lit("$system-1"))
     out = spans.parse_changes(records.unionByName(gone).unionByName(system))
     return out.select("stream_name", "i", F.array_join("c", ",").alias("c"))
 
 
-@query(f"""with {SPANS}, k as (select stream_name, count(*) as next_index from log where position < 10 and substr(stream_name, 6)::int % 4 <> 0 group by 1), j as (select sp.*, next_index from sp left join k using (stream_name) where i in (8, 12))
+@query(f"""with {SPANS}, k as (select stream_name, count(*) * 2 // 3 as next_index from log where substr(stream_name, 6)::int % 4 <> 0 group by 1), j as (select sp.*, next_index from sp left join k using (stream_name))
 select stream_name, i, case when next_index is null then 'start' when i > next_index then 'gap' when i + n > next_index then 'append' else 'discard' end as outcome,
   case when next_index is null or i >= next_index then n else greatest(i + n - next_index, 0) end::int as fresh from j""")
 def epoch_classify(spark, d):
     log = user(spark, d)
-    known = log.where("position < 10 and cast(substring(stream_name, 6) as int) % 4 <> 0").groupBy("stream_name").agg(F.count("*").alias("next_index"))
-    out = epochs.classify(spans.spans_of(log, 4).where("i in (8, 12)").select("stream_name", "i", "c"), known)
+    # two thirds of most streams are known already
+    known = log.where("cast(substring(stream_name, 6) as int) % 4 <> 0").groupBy("stream_name").agg(F.expr("count(*) * 2 div 3").alias("next_index"))
+    out = epochs.classify(spans.spans_of(log, 4).select("stream_name", "i", "c"), known)
     return out.select("stream_name", "i", "outcome", F.size("fresh").alias("fresh"))
 
 
@@ -731,16 +765,132 @@ def versioned_upsert(spark, d):
 @query(f"with {USER} select stream_name, position, type from log")
 def reaction_at_least_once(spark, d):
     """Two deliveries of a log, the second with repeats, through the stateful reactor: each event is handled once."""
-    import tempfile
-    import uuid
-
     from ..streaming import reactor
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rillstone-')}"
-    at = f"{base.rstrip('/')}/rillstone/reaction-{uuid.uuid4().hex}"
+    at = shared_path(spark, "reaction")
     log = logs.redelivered_log(spark, d).select("stream_name", "position", "type", "data", "delivery")
     for n in (0, 1):
         log.where(F.col("delivery") == n).drop("delivery").write.parquet(f"{at}/in/{n}")
     events = spark.readStream.schema("stream_name string, position long, type string, data string").option("maxFilesPerTrigger", 8).parquet(f"{at}/in/*")
     reactor.run_once(events, reactor.take_all, f"{at}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/{n}"))
     return spark.read.schema(reactor.HANDLED).parquet(f"{at}/out/*")
+
+
+# Operators that had no query of their own
+
+
+@query(f"with {BATCHES} select stream_name, i, c, n from b where n > 5")
+def projected_range(spark, d):
+    found = scans.batch_range(scans.as_batches(user(spark, d), 10), 5, indexes_only=True)
+    return found.select("stream_name", "i", F.array_join("c", ",").alias("c"), "n")
+
+
+@query(f"with {BATCHES} select stream_name, i, n from b where n > 5 order by i desc, stream_name limit 40")
+def batch_range_backwards(spark, d):
+    return scans.batch_range(scans.as_batches(user(spark, d), 10), 5, backwards=True, limit=40).select("stream_name", "i", "n")
+
+
+@query(f"with {USER} select stream_name, min(position) as first, count(*) as events from log where position >= 15 group by 1")
+def load_ignoring_missing(spark, d):
+    log = user(spark, d).select("stream_name", "position", "type").where("position >= 15")
+    found = scans.loaded(log.where("position > 30"), log.where("position <= 35"), ignore_missing=True)
+    return found.groupBy("stream_name").agg(F.min("position").alias("first"), F.count("*").alias("events"))
+
+
+@query(f"with {USER} select stream_name, position, type from log")
+def load_from_archive(spark, d):
+    log = user(spark, d).select("stream_name", "position", "type")
+    return scans.loaded(log.where("position > 35"), log.where("position between 15 and 40"), log.where("position < 20"))
+
+
+@query("select '1.3.0' as version")
+def store_version(spark, d):
+    return spark.range(1).select(F.lit(N.STORE_VERSION).alias("version"))
+
+
+@query("""select name, quoted from (values ('plain', 'plain'), ('select', '"select"'), ('Mixed', '"Mixed"'), ('two words', '"two words"'), ('a"b', '"a""b"'), ('_x1', '_x1'),
+  ('sysdate', '"sysdate"'), ('1st', '"1st"'), ('user', '"user"'), ('users', 'users')) t(name, quoted)""")
+def identifier_quoting(spark, d):
+    names = ("plain", "select", "Mixed", "two words", 'a"b', "_x1", "sysdate", "1st", "user", "users")
+    return spark.createDataFrame([(n, N.quote_identifier(n)) for n in names], "name string, quoted string")
+
+
+@query(f"with {USER}, h as (select stream_name, min(position) filter (where position % 7 <> 3 and position >= stream % 5) as head, stream % 5 as write from (select *, substr(stream_name, 6)::bigint as stream from log) group by stream_name, stream) select stream_name, head <> write as gap from h")
+def gap_predicate(spark, d):
+    """Whether the first event at hand is not the one at the stream's write position."""
+    log = user(spark, d).withColumn("write", N.stream_id("stream_name").cast("long") % 5)
+    heads = log.where("position % 7 <> 3 and position >= write").groupBy("stream_name", "write").agg(F.min("position").alias("head"))
+    return heads.select("stream_name", spans.gap_before("head", "write").alias("gap"))
+
+
+MODEL = "old as (select c_custkey, c_name, c_acctbal::varchar as c_acctbal from customer where c_custkey % 3 <> 0)"
+
+
+def read_model(spark, d) -> DataFrame:
+    return read(spark, d, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("c_acctbal"))
+
+
+def renamed(spark, d, action: str) -> DataFrame:
+    rows = read(spark, d, "customer").where("c_custkey % 2 = 0")
+    return rows.select("c_custkey", F.lit(0).cast("long").alias("seq"), F.lit(action).alias("action"), F.create_map(F.lit("c_name"), F.concat(F.lit("new-"), F.col("c_name"))).alias("data"))
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then 'new-' || c_name else c_name end as c_name from customer where c_custkey % 3 <> 0 or c_custkey % 2 = 0")
+def read_model_insert(spark, d):
+    return projection.project(read_model(spark, d), renamed(spark, d, "Insert"), ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query(f"with {MODEL} select c_custkey, case when c_custkey % 2 = 0 then 'new-' || c_name else c_name end as c_name from old")
+def read_model_update(spark, d):
+    return projection.project(read_model(spark, d), renamed(spark, d, "Update"), ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query(f"with {MODEL} select c_custkey, c_name from old where c_custkey % 2 <> 0")
+def read_model_delete(spark, d):
+    gone = renamed(spark, d, "Delete").withColumn("data", F.create_map().cast("map<string,string>"))
+    return projection.project(read_model(spark, d), gone, ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query("select 'Conversation-' || conv_id as stream_name, (row_number() over (partition by conv_id order by turn) - 1) as position, role as type, text as data from conversations")
+def append_events(spark, d):
+    """Conversations appended to a stored log, their even turns first; positions are those that the appends give."""
+    from ..sources.store import LogStore
+
+    c = read(spark, d, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    c = c.withColumn("half", F.row_number().over(order) > F.ceil(F.count("*").over(Window.partitionBy("conv_id")) / 2))
+    rows = c.select(F.concat(F.lit("Conversation-"), F.col("conv_id").cast("string")).alias("stream_name"), F.col("turn").alias("n"), F.col("role").alias("type"), F.col("text").alias("data"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("string").alias("id"), "half")
+    store = LogStore(spark, shared_path(spark, "log"))
+    for half in (False, True):
+        store.append_frame(rows.where(F.col("half") == half).drop("half"))
+    return store.log().select("stream_name", "position", "type", "data")
+
+
+@query("select * from (values ('g', 'A', 7), ('g', 'B', 4), ('h', 'A', 0)) t(group_name, category, position)")
+def checkpoint_store(spark, d):
+    from ..sources.store import Checkpoints, LogStore
+
+    points = Checkpoints(LogStore(spark, shared_path(spark, "log")))
+    points.load("g", "A", 3)
+    points.save("g", "A", 7)
+    found = [("g", "A", points.load("g", "A", 9)), ("g", "B", points.load("g", "B", 4)), ("h", "A", points.load("h", "A"))]
+    return spark.createDataFrame(found, "group_name string, category string, position int")
+
+
+@query(f"with {USER} select stream_name, count(*) as version, count(*) filter (where type = 'click') as state from log where substr(stream_name, 6)::int < 5 group by 1")
+def durable_decisions(spark, d):
+    """Deciders over a stored log: one event for each row of five streams, counted by the fold that a later load gives."""
+    from ..operators.decider import Category
+    from ..sources.store import Event, LogStore
+
+    store = LogStore(spark, shared_path(spark, "log"))
+    rows = user(spark, d).where(N.stream_id("stream_name").cast("int") < 5)
+    store.append_frame(rows.select("stream_name", F.col("position").alias("n"), "type", "data", "metadata", "id").where("n > 0"))
+    category = Category(store, "User", lambda s, es: s + sum(e.type == "click" for e in es), 0)
+    firsts = rows.where("position = 0").select("stream_name", "type").collect()  # five rows
+    found = []
+    for r in firsts:
+        decider = category.decider(r.stream_name.removeprefix("User-"))
+        version = decider.transact(lambda s, t=r.type: [Event(t)])
+        found.append((r.stream_name, version, decider.query()))
+    return spark.createDataFrame(found, "stream_name string, version long, state long")

@@ -25,7 +25,7 @@ class WrongExpectedVersion(RuntimeError):
 
 
 class ConcurrentWrite(RuntimeError):
-    pass
+    """Another writer has come first; what was read is no longer the last."""
 
 
 @dataclass
@@ -98,16 +98,31 @@ class LogStore:
         out.close()
         at = self._path(f"{self.path}/manifest-{manifest['number']:010d}.json")
         if self._fs.exists(at) or not self._fs.rename(staged, at):
+            self._fs.delete(staged, False)
             raise ConcurrentWrite(f"manifest {manifest['number']} is another writer's")
 
+    def _drop(self, at: str) -> None:
+        """Files that no manifest names."""
+        self._fs.delete(self._path(at), True)
+
     def log(self) -> DataFrame:
-        files = self._manifest()["files"]
+        return self._log_of(self._manifest())
+
+    def _log_of(self, manifest: dict) -> DataFrame:
+        files = manifest["files"]
         return self.spark.read.schema(SCHEMA).parquet(*files) if files else self.spark.createDataFrame([], SCHEMA)
 
     def version(self, stream: str) -> int:
         found = self.log().where(F.col("stream_name") == stream).agg(F.max("position")).first()[0]
         return 0 if found is None else found + 1
 
+    def load(self, stream: str, since: int = 0) -> list[Event]:
+        """A stream's events from a position on, in order. Files are sorted by stream and position, so that statistics let
+        readers pass by other streams."""
+        found = self.log().where((F.col("stream_name") == stream) & (F.col("position") >= since))
+        rows = found.select("position", "type", "data", "metadata", "id").collect()
+        return [Event(r.type, r.data, r.metadata, r.id) for r in sorted(rows, key=lambda r: r.position)]
+
     def append(self, stream: str, expected: int | None, events: list[Event]) -> int:
         """All events or none; the stream's version after them. expected None doesn't check."""
         rows = [(stream, k, e.type, e.data, e.metadata, e.id) for k, e in enumerate(events)]
@@ -119,14 +134,27 @@ class LogStore:
             return found
         return self.append_frame(frame, {stream: expected})[stream]
 
-    def append_frame(self, events: DataFrame, expected: dict[str, int | None] | None = None) -> dict[str, int]:
+    def append_frame(self, events: DataFrame, expected: dict[str, int | None] | None = None, attempts: int = 10) -> dict[str, int]:
         """Appends (stream_name, n, type, data, metadata, id) in order of n, all or nothing; versions of the streams that
-        were checked. Versions of other streams are not collected."""
-        manifest, log = self._manifest(), self.log()
+        were checked. Versions of other streams are not collected. Where another writer comes first, versions are read
+        and checked again: writers of other streams don't fail each other."""
+        for attempt in range(1, attempts + 1):
+            try:
+                return self._append_once(events, expected)
+            except ConcurrentWrite:
+                if attempt == attempts:
+                    raise
+        raise AssertionError
+
+    def _append_once(self, events: DataFrame, expected: dict[str, int | None] | None) -> dict[str, int]:
+        manifest = self._manifest()
+        log = self._log_of(manifest)
         touched = events.select("stream_name").distinct()
         versions = log.join(touched, "stream_name", "left_semi").groupBy("stream_name").agg((F.max("position") + 1).alias("version"))
         wanted = list(expected or {})
-        found = {r.stream_name: r.version for r in versions.where(F.col("stream_name").isin(wanted)).collect()} if wanted else {}
+        # the filter reaches the scan of the log, which reads the groups of rows that have these streams
+        found = log.where(F.col("stream_name").isin(wanted)).groupBy("stream_name").agg((F.max("position") + 1).alias("version")) if wanted else None
+        found = {r.stream_name: r.version for r in found.collect()} if wanted else {}
         for stream, version in (expected or {}).items():
             if version not in (None, found.get(stream, 0)):
                 raise WrongExpectedVersion(stream, version, found.get(stream, 0))
@@ -141,25 +169,54 @@ class LogStore:
         top = self.spark.read.parquet(at).agg(F.max("global_position")).first()[0]
         manifest["files"].append(at)
         manifest["next"] = manifest["next"] if top is None else top + 1
-        self._publish(manifest)
+        try:
+            self._publish(manifest)
+        except ConcurrentWrite:
+            self._drop(at)
+            raise
         if not wanted:
             return {}
         after = self.spark.read.parquet(at).where(F.col("stream_name").isin(wanted)).groupBy("stream_name").agg(F.max("position") + 1)
         return {r[0]: r[1] for r in after.collect()}
 
+    def at(self, name: str) -> str | None:
+        """Where the last version of a table lies; None where there is none."""
+        return self._manifest()["tables"].get(name)
+
     def read(self, name: str) -> DataFrame:
-        at = self._manifest()["tables"].get(name)
+        at = self.at(name)
         if at is None:
             raise KeyError(name)
         return self.spark.read.parquet(at)
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """A keyed table as a whole; readers of the old one keep its files."""
+    #: That a table is replaced whichever version is the last.
+    ANY = object()
+
+    def replace(self, name: str, rows: DataFrame, expected=ANY) -> None:
+        """A keyed table as a whole; readers of the old one keep its files. expected is where the version lies that rows were
+        made of (at()); if another one has come since, this one fails with ConcurrentWrite."""
         at = f"{self.path}/table-{name}-{uuid.uuid4().hex}"
         rows.write.parquet(at)
-        manifest = self._manifest()
-        manifest["tables"][name] = at
-        self._publish(manifest)
+        while True:
+            manifest = self._manifest()
+            if expected is not LogStore.ANY and manifest["tables"].get(name) != expected:
+                self._drop(at)
+                raise ConcurrentWrite(f"table {name} has another version")
+            manifest["tables"][name] = at
+            try:
+                return self._publish(manifest)
+            except ConcurrentWrite:
+                continue  # of the log or another table, or else the check above fails
+
+
+def retried(once, attempts: int = 10):
+    """once(), again while other writers come first."""
+    for attempt in range(1, attempts + 1):
+        try:
+            return once()
+        except ConcurrentWrite:
+            if attempt == attempts:
+                raise
 
 
 class Checkpoints:
@@ -168,25 +225,30 @@ class Checkpoints:
     def __init__(self, store: LogStore, name: str = "checkpoints"):
         self.store, self.name = store, name
 
-    def _rows(self) -> dict[tuple[str, str], str]:
-        try:
-            return {(r.group_name, r.category): r.position for r in self.store.read(self.name).collect()}
-        except KeyError:
-            return {}
+    def _rows(self) -> tuple[dict[tuple[str, str], str], str | None]:
+        at = self.store.at(self.name)
+        rows = self.store.spark.read.parquet(at).collect() if at else []
+        return {(r.group_name, r.category): r.position for r in rows}, at
 
-    def _put(self, rows: dict) -> None:
+    def _put(self, rows: dict, at: str | None) -> None:
         made = [(g, c, p) for (g, c), p in rows.items()]
-        self.store.replace(self.name, self.store.spark.createDataFrame(made, "group_name string, category string, position string"))
+        self.store.replace(self.name, self.store.spark.createDataFrame(made, "group_name string, category string, position string"), at)
 
     def load(self, group: str, category: str, origin: int | None = None) -> int:
-        rows = self._rows()
-        if (group, category) not in rows:
-            rows[group, category] = str(origin or 0)
-            self._put(rows)
-        return int(rows[group, category])
+        def once():
+            rows, at = self._rows()
+            if (group, category) not in rows:
+                rows[group, category] = str(origin or 0)
+                self._put(rows, at)
+            return int(rows[group, category])
+
+        return retried(once)
 
     def save(self, group: str, category: str, position: int) -> None:
-        rows = self._rows()
-        if (group, category) in rows:
-            rows[group, category] = str(position)
-            self._put(rows)
+        def once():
+            rows, at = self._rows()
+            if (group, category) in rows:
+                rows[group, category] = str(position)
+                self._put(rows, at)
+
+        retried(once)

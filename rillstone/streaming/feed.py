@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,20 +17,62 @@ NAMES = [c.split()[0] for c in FEED.split(", ")]
 
 @dataclass
 class Range(InputPartition):
-    """Global positions in [low, high) of one member of `size`."""
+    """Global positions in [low, high) of some files."""
 
     low: int
     high: int
+    files: tuple[str, ...]
 
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, low: int, high: int, files: tuple[str, ...]):
+        self.low, self.high, self.files = low, high, files
 
 
-def rows(path: str, category: str | None, low: int | None, high: int | None):
-    """Rows of a log folder, in order of global position; filters go to the Parquet reader."""
+def opened(path: str):
+    """File system and path within it."""
+    from pyarrow import fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def published(path: str) -> list[str]:
+    """The Parquet files of a log: those of the newest manifest, so that a failed append's files are never read, or of the
+    folder where there is none."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, root = opened(path)
+    names = sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("manifest-") and len(f.base_name) == 24)
+    if names:
+        with system.open_input_stream(names[-1]) as f:
+            folders = [opened(x)[1] for x in json.loads(f.read())["files"]]
+    else:
+        folders = [root]
+    return [f for folder in folders for f in ds.dataset(folder, filesystem=system, format="parquet").files]
+
+
+def spans(path: str) -> list[tuple[int, int, int, str]]:
+    """(lowest, highest global position, rows, file) of each file of a log that has rows, from statistics alone."""
+    import pyarrow.parquet as pq
+
+    system, _ = opened(path)
+    out = []
+    for f in published(path):
+        with system.open_input_file(f) as opened_file:
+            meta = pq.ParquetFile(opened_file).metadata
+            at = meta.schema.names.index("global_position")
+            found = [s for g in range(meta.num_row_groups) if (s := meta.row_group(g).column(at).statistics) and s.has_min_max]
+            if found:
+                out.append((min(s.min for s in found), max(s.max for s in found), meta.num_rows, f))
+    return sorted(out)
+
+
+def rows(path: str, files: tuple[str, ...], category: str | None, low: int | None, high: int | None, columns: list[str] = NAMES):
+    """Rows of some files of a log, in order of global position; filters go to the Parquet reader."""
     import pyarrow.dataset as ds
 
-    data = ds.dataset(path, format="parquet")
+    data = ds.dataset(list(files), filesystem=opened(path)[0], format="parquet")
     want = None
     for part in (
         None if category is None else ds.field("category") == category,
@@ -38,57 +81,78 @@ def rows(path: str, category: str | None, low: int | None, high: int | None):
     ):
         if part is not None:
             want = part if want is None else want & part
-    return data.to_table(columns=NAMES, filter=want).sort_by("global_position")
+    return data.to_table(columns=columns, filter=want).sort_by("global_position")
 
 
 def top(path: str) -> int:
-    """One beyond the last global position, from file statistics alone."""
-    import pyarrow.dataset as ds
-
-    high = 0
-    for f in ds.dataset(path, format="parquet").get_fragments():
-        f.ensure_complete_metadata()
-        for g in f.row_groups:
-            high = max(high, g.statistics.get("global_position", {}).get("max", -1) + 1)
-    return high
+    """One beyond the last global position."""
+    return max((high + 1 for _, high, _, _ in spans(path)), default=0)
+
+
+def after(path: str, category: str | None, start: int, n: int) -> int:
+    """Where a batch of n events of a category ends that begins at a global position: files are read in order, their
+    positions alone, until there are n."""
+    found: list[int] = []
+    held = [x for x in spans(path) if x[1] >= start]
+    for k, (_, _, _, f) in enumerate(held):
+        found += rows(path, (f,), category, start, None, ["global_position"]).column(0).to_pylist()
+        # what the next files have may lie between, as long as they begin before the nth
+        if len(found) >= n and (k + 1 == len(held) or held[k + 1][0] > sorted(found)[n - 1]):
+            return sorted(found)[n - 1] + 1
+    return top(path) if held else start
+
+
+def dealt(path: str, low: int, high: int, parts: int) -> list[Range]:
+    """Files that have positions in [low, high), dealt to at most `parts` partitions by their rows."""
+    groups: list[list] = [[0, []] for _ in range(parts)]
+    for a, b, n, f in sorted(spans(path), key=lambda x: -x[2]):
+        if b >= low and a < high:
+            least = min(groups, key=lambda g: g[0])
+            least[0] += n
+            least[1].append(f)
+    return [Range(low, high, tuple(g[1])) for g in groups if g[1]]
 
 
 class CategoryStream(DataSourceStreamReader):
+    """The offset is one beyond the last global position read. With batchSize a batch has at most so many events of the
+    category. Spark asks a reader for the end of its first batch before it tells it the start (which may be a checkpoint's),
+    so that the first batch after a start or restart takes what is there, dealt to partitions by files. The trigger
+    availableNow asks for one end only."""
+
     def __init__(self, options: dict):
         self.path, self.category = options["path"], options.get("category")
-        self.start, self.batch = options.get("startingOffset", "earliest"), int(options.get("batchSize", 10_000))
-        self.parts = int(options.get("partitions", 4))
+        self.start, self.batch = options.get("startingOffset", "earliest"), int(options.get("batchSize", 0))
+        self.parts, self.at = int(options.get("partitions", 4)), None
 
     def initialOffset(self) -> dict:
-        return {"position": top(self.path) if self.start == "latest" else 0 if self.start == "earliest" else int(self.start)}
+        self.at = top(self.path) if self.start == "latest" else 0 if self.start == "earliest" else int(self.start)
+        return {"position": self.at}
 
     def latestOffset(self) -> dict:
-        return {"position": top(self.path)}
+        self.at = top(self.path) if self.at is None or not self.batch else after(self.path, self.category, self.at, self.batch)
+        return {"position": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        low, high = start["position"], end["position"]
-        step = max(1, -(-(high - low) // self.parts))
-        return [Range(k, min(k + step, high)) for k in range(low, high, step)]
+        self.at = end["position"]
+        return dealt(self.path, start["position"], end["position"], self.parts)
 
     def read(self, partition: Range):
-        yield from rows(self.path, self.category, partition.low, partition.high).to_batches()
+        yield from rows(self.path, partition.files, self.category, partition.low, partition.high).to_batches()
 
 
 class CategoryReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.category = options["path"], options.get("category")
+        self.path, self.category, self.parts = options["path"], options.get("category"), int(options.get("partitions", 4))
 
     def partitions(self) -> list[Range]:
-        high = top(self.path)
-        step = max(1, -(-high // 4))
-        return [Range(k, min(k + step, high)) for k in range(0, high, step)]
+        return dealt(self.path, 0, 2**63 - 1, self.parts)
 
     def read(self, partition: Range):
-        yield from rows(self.path, self.category, partition.low, partition.high).to_batches()
+        yield from rows(self.path, partition.files, self.category, None, None).to_batches()
 
 
 class CategoryFeed(DataSource):
-    """format("category_feed"): options path, category, startingOffset (earliest, latest or a position), partitions."""
+    """format("category_feed"): options path, category, startingOffset (earliest, latest or a position), batchSize, partitions."""
 
     @classmethod
     def name(cls) -> str:
@@ -98,10 +162,10 @@ class CategoryFeed(DataSource):
         return FEED
 
     def reader(self, schema) -> DataSourceReader:
-        return CategoryReader(dict(self.options))
+        return CategoryReader(self.options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return CategoryStream(dict(self.options))
+        return CategoryStream(self.options)
 
 
 def register(spark: SparkSession) -> None:

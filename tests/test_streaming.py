@@ -127,3 +127,39 @@ def test_the_category_source(spark, sf, tmp_path):
     log.where("global_position > 600").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     once()
     assert sorted(got) == [r[0] for r in log.select("global_position").orderBy("global_position").collect()]
+
+
+def test_the_category_source_in_batches(spark, tmp_path):
+    """Batches of at most batchSize events, of published files alone."""
+    from rillstone.sources.store import ConcurrentWrite, LogStore
+
+    store = LogStore(spark, f"file://{tmp_path}/log")
+    rows = lambda c, low, high: spark.createDataFrame([(f"{c}-{k % 3}", k, "T", None, None, None) for k in range(low, high)], "stream_name string, n long, type string, data string, metadata string, id string")
+    store.append_frame(rows("A", 0, 30).unionByName(rows("B", 0, 30)))
+    store.append_frame(rows("A", 30, 47))
+    store.replace("t", spark.range(3))
+    publish = store._publish
+
+    def fails(manifest):
+        raise ConcurrentWrite
+
+    store._publish, drop, store._drop = fails, store._drop, lambda at: None
+    try:
+        store.append_frame(rows("A", 99, 120), attempts=1)
+    except ConcurrentWrite:
+        pass
+    store._publish, store._drop = publish, drop
+    F.register(spark)
+    path = f"file://{tmp_path}/log"
+    assert spark.read.format("category_feed").option("path", path).option("category", "A").load().count() == 47
+    assert F.after(path, "A", 0, 10) < F.after(path, "A", 0, 11) < F.top(path) == F.after(path, "A", 0, 1000)
+    got = []
+    stream = spark.readStream.format("category_feed").option("path", path).option("category", "A").option("batchSize", 10).load()
+    q = stream.writeStream.foreachBatch(lambda b, n: got.append([r[0] for r in b.select("global_position").collect()])).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    store.append_frame(rows("A", 47, 84))
+    q.processAllAvailable()
+    q.stop()
+    sizes = [len(x) for x in got if x]
+    assert sum(sizes) == 84 and max(sizes[1:]) <= 10 and len(sizes) >= 5
+    assert sorted(sum(got, [])) == sorted(r[0] for r in store.log().where("category = 'A'").select("global_position").collect())
