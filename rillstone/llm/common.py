@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
+#: Paths of this process's intermediate tables, which clean() removes.
+WRITTEN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,9 +36,18 @@ def written(df: DataFrame, kind: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/rillstone/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes the intermediate tables; for when nothing that was made of them is still to be computed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while WRITTEN:
+        at = path(WRITTEN.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, with underscores behind it while df has a column of that name."""
     taken = {c.lower() for c in df.columns}

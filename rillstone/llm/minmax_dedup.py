@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, fresh, table, written
 
 M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 PERMUTATIONS, ROWS = 32, 4
@@ -245,8 +245,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that share the kept doc_id and text stay, as many as there are; so do rows without a doc_id.
     """
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__id"), F.col("__text_key").alias("__key"))
-    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+    id_, key = fresh(docs, "__id"), fresh(docs, "__key")
+    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias(id_), F.col("__text_key").alias(key))
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def op1_minmax_dedup(spark, sf_dir):

@@ -61,5 +61,5 @@ def with_clashes(df):
     """The same rows with columns whose names an operator might use itself."""
     from pyspark.sql import functions as F
 
-    names = ("id", "component", "key", "size", "target", "score", "n", "a", "b", "w", "tk", "lid", "value", "kept", "words", "line", "line_no", "grams", "found", "band", "gone", "text_key", "at", "toxic", "label")
+    names = ("id", "component", "key", "size", "target", "score", "n", "a", "b", "w", "tk", "lid", "value", "kept", "words", "line", "line_no", "grams", "found", "band", "gone", "text_key", "at", "toxic", "label", "__id", "__key", "__tk", "__mix_source", "__mix_size", "__toxicity", "__maybe", "__text_key", "__class", "__bands", "__gone", "row", "of", "rate", "draw", "copies", "so_far")
     return df.withColumns({n: F.lit(k) for k, n in enumerate(names)})
