@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding: Unigram Viterbi over a double-array trie of pieces with log scores.
 
-A text is cut at its spaces; each stretch carries the white-space marker U+2581 for the space before it (the first
-one for a space that is put before the text). No piece has the marker but at its start, so the best path of a text is
-the best paths of its stretches, and stretches are looked up once for each batch of new ones: the trie is walked for
-all of them together, position by position. What no piece covers becomes byte pieces, as does a U+2581 of the text
-itself; so decoding gives back every text exactly.
+A text, with a space put before it, is cut before each run of spaces; a stretch is a run, as white-space markers U+2581,
+and what follows it up to the next. Where no piece has a marker behind another character, none spans a cut, and the best
+path of a text is the best paths of its stretches (else a text is one stretch). Stretches are looked up once for each
+batch of new ones: the trie is walked for all of them together, position by position. What no piece covers becomes byte
+pieces, as does a U+2581 of the text itself; so decoding gives back every text exactly.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import struct
 from dataclasses import dataclass
 
@@ -17,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import fresh, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 #: Characters of a table of long stretches; one that is longer has a table of its own.
 CELLS = 1_000_000
+#: Tables of at most so many stretches are filled one by one.
+FEW = 24
 #: Stretches that one task remembers at most; beyond it starts anew.
 REMEMBERED = 400_000
 
@@ -67,7 +70,7 @@ class Pieces:
     @classmethod
     def read(cls, path: str) -> Pieces:
         """Pieces of a model file. Those of a unigram model keep their log scores. A BPE model has ranks instead of
-        probabilities; its pieces get Zipf's log score, -ln(rank + 2), normal pieces in order of rank."""
+        probabilities; its normal pieces get the logarithms of Zipf's law over their ranks, which sums to 1."""
         with open(path, "rb") as f:
             whole = list(fields(f.read()))
         out, unigram = cls([], [], []), True
@@ -81,8 +84,9 @@ class Pieces:
                 unigram = dict(fields(value)).get(3, 1) == 1
         if not unigram:
             ranked = sorted((i for i, k in enumerate(out.kinds) if k == NORMAL), key=lambda i: (-out.scores[i], i))
+            whole = math.log(sum(1 / (rank + 2) for rank in range(len(ranked))))
             for rank, i in enumerate(ranked):
-                out.scores[i] = -math.log(rank + 2)
+                out.scores[i] = -math.log(rank + 2) - whole
         return out
 
 
@@ -101,7 +105,7 @@ class DoubleArray:
                     children.append({})
                 node = found
             ends[node] = value
-        room = len(children) * 2 + 1024
+        room = len(children) * 2 + 4096
         base, check = np.zeros(room, np.int32), np.full(room, -1, np.int32)
         value, used = np.full(room, -1, np.int32), np.zeros(room, bool)
         used[0], first = True, 1
@@ -138,8 +142,10 @@ class Unigram:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         whole = {p.encode(): i for i, (p, k) in enumerate(zip(pieces.texts, pieces.kinds, strict=True)) if k in (NORMAL, USER)}
-        # the marker stands only at a piece's start: others could join stretches
-        self.trie = DoubleArray({k: i for k, i in whole.items() if MARK not in pieces.texts[i][1:]})
+        self.trie = DoubleArray(whole)
+        #: Some piece could join stretches.
+        self.joins = any(re.search(f"[^{MARK}]{MARK}", pieces.texts[i]) for i in whole.values())
+        self._lists: tuple[list, list, list, list] | None = None
         self.longest = max(map(len, whole), default=1)
         self.bytes = np.full(256, -1, np.int32)
         for i, (p, k) in enumerate(zip(pieces.texts, pieces.kinds, strict=True)):
@@ -164,6 +170,8 @@ class Unigram:
 
     def _block(self, raw: list[bytes]) -> list[tuple[int, ...]]:
         trie, n = self.trie, len(raw)
+        if n <= FEW:
+            return [self._one(r) for r in raw]
         size = np.array([len(r) for r in raw])
         order = np.argsort(-size, kind="stable")
         size, most = size[order], int(size.max(initial=0))
@@ -217,9 +225,40 @@ class Unigram:
             out[i] = tuple(ids[::-1])
         return out
 
+    def _one(self, raw: bytes) -> tuple[int, ...]:
+        """As _block(), for one stretch, whose length costs time and memory in proportion."""
+        if self._lists is None:
+            self._lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist()
+        base, check, value, scores = self._lists
+        n, uncovered = len(raw), self.uncovered
+        best, came, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            own, lead = best[start], raw[start]
+            if own == -math.inf or lead & 0xC0 == 0x80:
+                continue
+            stop = min(n, start + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0))
+            if own + uncovered > best[stop]:
+                best[stop], came[stop], piece[stop] = own + uncovered, start, -1
+            state = 0
+            for at in range(start, min(n, start + self.longest)):
+                t = base[state] + raw[at] + 1
+                if check[t] != state:
+                    break
+                state = t
+                found = value[t]
+                if found >= 0 and own + scores[found] > best[at + 1]:
+                    best[at + 1], came[at + 1], piece[at + 1] = own + scores[found], start, found
+        ids: list[int] = []
+        while n:
+            before = came[n]
+            ids += [piece[n]] if piece[n] >= 0 else self.bytes[list(raw[before:n])].tolist()[::-1]
+            n = before
+        return tuple(ids[::-1])
+
     def encode_packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as 32-bit numbers; null and empty texts have none."""
-        cut = [stretches(t) if t else [] for t in texts]
+        cut = [([t] if self.joins else stretches(t)) if t else [] for t in texts]
         seen = self.seen
         new = list({s for c in cut for s in c if s not in seen})
         if len(seen) + len(new) > REMEMBERED:
@@ -234,8 +273,8 @@ class Unigram:
         return [np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(texts)]
 
     def paths_of(self, found: list[str]) -> list[tuple[int, ...]]:
-        """As paths(), for stretches as the text has them: without the marker, which is put before all, and with the
-        text's own U+2581 as bytes."""
+        """As paths(), for stretches as the text has them: without the first marker, which is put before all, with spaces
+        for the others, and with the text's own U+2581 as bytes."""
         out: list = [None] * len(found)
         mark = MARK.encode()
         short = [i for i, s in enumerate(found) if len(s) < 48 and MARK not in s]
@@ -243,7 +282,7 @@ class Unigram:
             of = [i for i in short if low <= len(found[i]) < high]
             for start in range(0, len(of), 20_000):
                 some = of[start : start + 20_000]
-                for i, ids in zip(some, self._block([mark + found[i].encode("utf-8", "surrogatepass") for i in some]), strict=True):
+                for i, ids in zip(some, self._block([mark + found[i].replace(" ", MARK).encode("utf-8", "surrogatepass") for i in some]), strict=True):
                     out[i] = ids
         rest = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(rest, self._cut_paths([found[i] for i in rest]), strict=True):
@@ -257,6 +296,7 @@ class Unigram:
         for s in found:
             row: list[int | tuple[int, ...]] = []
             for k, piece in enumerate(s.split(MARK)):
+                piece = piece.replace(" ", MARK)
                 if k:
                     row.append(own)
                 marked = piece if k else MARK + piece
@@ -293,19 +333,25 @@ class Unigram:
 
 
 def stretches(text: str) -> list[str]:
-    return text.split(" ")
+    """The parts of " " + text that begin with its runs of spaces, each without its first space."""
+    found = text.split(" ")
+    if "" in found:
+        found = [s[1:] for s in re.findall(" +[^ ]*", " " + text)]
+    return found
 
 
 def encode(docs: DataFrame, model: str | Pieces = MODEL) -> DataFrame:
-    """docs with piece_ids (array<int>), n_pieces and decoded_exactly; columns of docs with these names give way.
+    """docs with piece_ids (array<int>), n_pieces and decoded_exactly; where docs has a column of such a name, the new
+    one's ends in underscores.
 
     model: a path that the driver reads, or pieces. They are broadcast: a vocabulary's size is fixed. Null and empty
-    texts have no ids; the whole text is encoded, decoded again and compared.
+    texts have no ids; the whole text is encoded, decoded again and compared. Of paths with equal scores the one whose
+    last piece starts first wins, then that of the prefix. An empty table gives an empty one.
     """
     pieces = model if isinstance(model, Pieces) else Pieces.read(model)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
-    docs = docs.drop("piece_ids", "n_pieces", "decoded_exactly")
-    schema = docs.selectExpr("*", "cast(null as array<int>) piece_ids", "0 n_pieces", "true decoded_exactly").schema
+    names = [fresh(docs, n) for n in ("piece_ids", "n_pieces", "decoded_exactly")]
+    schema = docs.selectExpr("*", *(f"{e} as `{n}`" for e, n in zip(("cast(null as array<int>)", "0", "true"), names, strict=True))).schema
 
     def run(batches):
         coder = Unigram(sent.value)
@@ -320,23 +366,24 @@ def encode(docs: DataFrame, model: str | Pieces = MODEL) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 made = [pa.ListArray.from_arrays(starts, flat), pa.array(sizes), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "piece_ids", "n_pieces", "decoded_exactly"])
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, model: str | Pieces = MODEL) -> DataFrame:
-    """encoded with the column decoded, the text of its piece_ids; null ids give null."""
+def decode(encoded: DataFrame, model: str | Pieces = MODEL, ids: str = "piece_ids") -> DataFrame:
+    """encoded with the column decoded, the text of its column `ids`; null ids give null. Where there is a column decoded,
+    the new one's name ends in underscores."""
     pieces = model if isinstance(model, Pieces) else Pieces.read(model)
     sent = encoded.sparkSession.sparkContext.broadcast(pieces)
-    encoded = encoded.drop("decoded")
-    schema = encoded.selectExpr("*", "'' decoded").schema
+    name = fresh(encoded, "decoded")
+    schema = encoded.selectExpr("*", f"'' as `{name}`").schema
 
     def run(batches):
         back = Unigram(sent.value).decoder()
         for b in batches:
-            texts = [None if i is None else back(i) for i in b.column("piece_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
+            texts = [None if i is None else back(i) for i in b.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, name])
 
     return encoded.mapInArrow(run, schema)
 
