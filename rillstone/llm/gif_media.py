@@ -1,13 +1,15 @@
-"""Media columns: GIF frames with their timing, and colour histograms.
+"""Media columns: GIF frames as they are shown, with their timing and colour histograms.
 
 The decoder reads any GIF87a or GIF89a stream: LZW codes of 2 to 8 bits a sample, global and local palettes,
-interlacing, disposal (keep, clear, restore), transparency and delays. The encoder stores bytes without loss as
+interlacing, disposal (keep, clear, restore), transparency and delays. A frame is stored as the canvas that a viewer
+shows: palettes applied, and put over what the frames before it have left. The encoder stores bytes without loss as
 samples of 256 grey levels, in frames of WIDTH columns and at most ROWS rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,6 +24,10 @@ from .common import table
 WIDTH, ROWS, UNIT = 192, 2048, 192
 DELAY = 4  # hundredths of a second
 GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: Most pixels of a canvas, 256 MB as RGBA; a header that asks for more raises ValueError.
+PIXELS = 1 << 26
+#: Equal parts of a colour channel in a histogram.
+BINS = 8
 #: Most entries of an LZW table, by the format.
 FULL = 4096
 
@@ -241,34 +247,43 @@ def joined(gif: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def rendered(gif: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(delay in ms, RGBA canvas) of each frame, with disposal and transparency applied."""
+def shown(gif: bytes) -> Iterator[tuple[Frame, np.ndarray]]:
+    """Each frame as it is stored, and the RGBA canvas that shows it: transparent samples leave what is there, and each
+    frame's disposal holds before the next one. The canvas is one array; whoever keeps it copies it."""
+    stored = frames(gif)
+    first = next(stored, None)
     width, height = struct.unpack_from("<HH", gif, 6)
+    if width * height > PIXELS:
+        raise ValueError(f"a canvas of more than {PIXELS} pixels")
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
-    for f in frames(gif):
-        before = canvas.copy()
+    for f in itertools.chain((first,) if first else (), stored):
         box = (slice(f.top, min(f.top + f.height, height)), slice(f.left, min(f.left + f.width, width)))
+        before = canvas[box].copy() if f.disposal == 3 else None
         part = f.samples[: max(0, height - f.top), : max(0, width - f.left)]
-        colour = np.zeros((*part.shape, 4), dtype=np.uint8)
-        colour[..., :3] = f.palette[np.minimum(part, len(f.palette) - 1)]
-        colour[..., 3] = 255
-        seen = np.ones(part.shape, dtype=bool) if f.transparent is None else part != f.transparent
-        canvas[box][seen] = colour[seen]
-        yield f.delay_ms, canvas.copy()
+        colours = np.full((256, 4), 255, dtype=np.uint8)
+        colours[: len(f.palette), :3] = f.palette
+        colours[len(f.palette) :, :3] = f.palette[-1]
+        if f.transparent is None:
+            canvas[box] = colours[part]
+        else:
+            seen = part != f.transparent
+            canvas[box][seen] = colours[part[seen]]
+        yield f, canvas
         if f.disposal == 2:
             canvas[box] = 0
-        elif f.disposal == 3:
-            canvas = before
-
-
-def histogram(f: Frame, bins: int = 8) -> np.ndarray:
-    """Counts of luminance in equal bins over a frame's samples; transparent samples are left out."""
-    counts = np.bincount(f.samples.ravel(), minlength=256)[:256].astype(np.int64)
-    if f.transparent is not None:
-        counts[f.transparent] = 0
-    light = (f.palette.astype(np.int64) @ np.array([299, 587, 114])) // 1000
-    out = np.zeros(bins, dtype=np.int64)
-    np.add.at(out, light[:256] * bins // 256, counts[: len(light)])
+        elif before is not None:
+            canvas[box] = before
+
+
+def histograms(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """3 x bins counts of the red, green and blue of a canvas's visible pixels, in equal parts of 0 to 255."""
+    pixels = canvas.reshape(-1, 4)
+    if not pixels[:, 3].all():
+        pixels = pixels[pixels[:, 3] > 0]
+    level = np.arange(256) * bins // 256
+    out = np.zeros((3, bins), dtype=np.int64)
+    for c in range(3):
+        np.add.at(out[c], level, np.bincount(pixels[:, c], minlength=256))
     return out
 
 
@@ -281,17 +296,17 @@ def payload_of(text: str | None, unit: int = UNIT) -> tuple[bytes, int]:
 def media_row(text: str | None) -> tuple:
     payload, n = payload_of(text)
     gif = store(payload)
-    h, total, crc, size, count, ms = hashlib.sha256(), np.zeros(8, dtype=np.int64), b"", 0, 0, 0
-    for f in frames(gif):
+    h, total, crc, size, count, ms = hashlib.sha256(), np.zeros((3, BINS), dtype=np.int64), b"", 0, 0, 0
+    for f, canvas in shown(gif):
         got = f.samples.tobytes()
         h.update(got)
         size += len(got)
         crc = (crc + got[-16:])[-16:]
-        total += histogram(f)
+        total += histograms(canvas)
         count += 1
         ms += f.delay_ms
-    feature = f"frames={count};ms={ms};hist=" + ",".join(map(str, total))
-    return n, size, h.hexdigest(), zlib.crc32(crc), len(gif), hashlib.sha256(gif).hexdigest(), feature
+    colours = ";".join(f"{name}={','.join(map(str, row))}" for name, row in zip(("red", "green", "blue"), total, strict=True))
+    return n, size, h.hexdigest(), zlib.crc32(crc), len(gif), hashlib.sha256(gif).hexdigest(), f"frames={count};ms={ms};{colours}"
 
 
 FIELDS = (
@@ -300,21 +315,31 @@ FIELDS = (
 )
 
 
+FRAMES = pa.schema([
+    ("id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("width", pa.int32()), ("height", pa.int32()),
+    ("pixels", pa.binary()), ("samples", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("red", "green", "blue")),
+])
+
+
 def media_frames(media: DataFrame) -> DataFrame:
-    """(id, frame, delay_ms, disposal, width, height, pixels, histogram): the stored frames of (id, gif) rows.
+    """(id, frame, start_ms, delay_ms, disposal, width, height, pixels, samples, red, green, blue): the frames of (id, gif)
+    rows as they are shown, a row each. pixels is the canvas as RGBA bytes of height rows, samples the palette indices
+    that the frame stores; red, green and blue count the visible pixels in BINS equal parts of the channel.
 
-    Null and empty media have no frames; bytes that are no GIF raise ValueError.
+    Null and empty media have no frames; bytes that are no GIF raise ValueError; a null id stays null. An empty table
+    gives an empty one. A batch holds one frame, so that memory is bounded by the largest canvas.
     """
 
     def read(batches):
         for b in batches:
             for key, gif in zip(b.column("id"), b.column("gif"), strict=True):
-                for k, f in enumerate(frames(gif.as_py()) if gif.as_py() else ()):
-                    row = {"id": key.as_py(), "frame": k, "delay_ms": f.delay_ms, "disposal": f.disposal, "width": f.width, "height": f.height, "pixels": f.samples.tobytes(), "histogram": histogram(f).tolist()}
-                    yield pa.RecordBatch.from_pylist([row], schema=kinds)
+                start = 0
+                for k, (f, canvas) in enumerate(shown(gif.as_py()) if gif.as_py() else ()):
+                    row = [key.as_py(), k, start, f.delay_ms, f.disposal, canvas.shape[1], canvas.shape[0], canvas.tobytes(), f.samples.tobytes(), *histograms(canvas).tolist()]
+                    yield pa.RecordBatch.from_pylist([dict(zip(FRAMES.names, row, strict=True))], schema=FRAMES)
+                    start += f.delay_ms
 
-    kinds = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int64()))])
-    schema = "id long, frame int, delay_ms int, disposal int, width int, height int, pixels binary, histogram array<long>"
+    schema = "id long, frame int, start_ms long, delay_ms int, disposal int, width int, height int, pixels binary, samples binary, red array<long>, green array<long>, blue array<long>"
     return media.selectExpr("cast(id as long) id", "gif").mapInArrow(read, schema)
 
 
@@ -331,7 +356,12 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """One row a document: its text stored as a GIF, read back, and features of what was read."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), one row for each
+    row of docs: its text stored as a GIF, read back, and features of what is shown.
+
+    A null text is stored as an empty one, a payload of UNIT spaces; a null doc_id stays null; equal texts give equal
+    values. Other columns don't matter. An empty table gives an empty one.
+    """
 
     def digest(batches):
         for b in batches:
@@ -346,3 +376,25 @@ def media_digest(docs: DataFrame) -> DataFrame:
 
 def op8_gif_media(spark, sf_dir):
     return media_digest(table(spark, sf_dir, "documents"))
+
+
+def media_payload(spark, sf_dir):
+    """What op8_gif_media has of the payload, which SQL can compute too."""
+    return op8_gif_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+PAYLOAD_ORACLE = r"""
+with texts as (
+  select doc_id, encode(coalesce(text, '')) as b from documents
+), sized as (
+  select doc_id, b, octet_length(b) as n, case when octet_length(b) = 0 then 192 else (192 - octet_length(b) % 192) % 192 end as pad from texts
+), padded as (
+  select doc_id, n, n + pad as size, b || encode(repeat(' ', pad)) as p from sized
+), tails as (
+  select *, list_transform(range(0, 16), lambda i: ('0x' || substr(hex(p[size - 15:size]), (1 + 2 * i)::int, 2))::bigint) as tail from padded
+)
+select doc_id, n::bigint as n_bytes, size::bigint as payload_bytes, sha256(p) as payload_sha256,
+  xor(4294967295, list_reduce(list_prepend(4294967295::bigint, tail), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)),
+    lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))::bigint as tail_crc32
+from tails
+"""

@@ -13,10 +13,14 @@ QUERIES = {
     "op8_gif_media": gif_media.op8_gif_media,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_source_mixing": mixing.op10_source_mixing,
+    "media_payload": gif_media.media_payload,
+    "lm_base": brown_lm.lm_base,
 }
 
 ORACLE_SQL = {
     "op1_minmax_dedup": minmax_dedup.ORACLE,
     "op7_embedding_dedup": embedding_dedup.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
+    "media_payload": gif_media.PAYLOAD_ORACLE,
+    "lm_base": brown_lm.BASE_ORACLE,
 }
