@@ -71,3 +71,29 @@ def test_run_gives_the_last_stage(spark, folder):
     out = P.run(spark, folder)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "piece_ids", "n_pieces", "decoded_exactly"]
     assert out.count() > 0 and out.where("not decoded_exactly").count() == 0
+
+
+def test_stages_stand_odd_tables(spark, tmp_path):
+    """Null labels and columns, repeated rows, columns whose names operators use themselves, and empty tables."""
+    rows = [r for r in X.documents() if r[1] is None or len(r[1]) < 3000][:60] + [(None, None, None, None, None), (None, "a b c", None, None, None)]
+    odd = X.with_clashes(X.frame(spark, rows)).selectExpr("*", "'own' as piece_ids", "'own' as N_PIECES", "'own' as n_removed", "'own' as target_")
+    for n, (docs, labels) in enumerate([
+        (odd, [(rows[0][0], None, None), (None, 1, 1), (rows[1][0], 1, 0)]),
+        (odd, []),
+        (odd.where("false"), [(1, 1, 1)]),
+        (odd.where("false"), []),
+    ]):
+        at = f"{tmp_path}/{n}"
+        docs.coalesce(2).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{at}/labels.parquet")
+        given = docs.count()
+        for name, stage in P.STAGES[:-1]:
+            docs = P.written(stage(spark, docs, at), f"test-{name}")
+            assert docs.columns == odd.columns and (docs.count() > 0) == (given > 0), name
+            if given:
+                r = docs.where("text = 'a b c' and doc_id is null").first()
+                assert r is None or (r["id"], r["__tk"], r["__mix_size"], r["piece_ids"]) == (0, odd.first()["__tk"], odd.first()["__mix_size"], "own")
+        out = P.STAGES[-1][1](spark, docs, at)
+        assert out.columns == [*odd.columns, "piece_ids_", "n_pieces_", "decoded_exactly"]
+        assert out.where("not decoded_exactly or piece_ids <> 'own'").count() == 0 and (out.count() > 0) == (given > 0)
+    assert P.run(spark, f"{tmp_path}/3").count() == 0
