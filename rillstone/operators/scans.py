@@ -160,11 +160,14 @@ def batch_range(batches: DataFrame, min_n: int, max_i: int | None = None, backwa
 
 
 def tip_read(batches: DataFrame, known: DataFrame) -> DataFrame:
-    """(stream_name, outcome) for known (stream_name, etag): NotFound, NotModified or Found."""
-    tips = batches.where("is_tip").select("stream_name", F.col("etag").alias("__etag"))
+    """(stream_name, outcome, index, etag) for known (stream_name, etag): NotFound, NotModified or Found, the position to go
+    on from and the tip's etag where it is Found."""
+    tips = batches.where("is_tip").select("stream_name", F.col("etag").alias("__etag"), F.col("n").alias("__n"))
     joined = known.join(tips, "stream_name", "left")
     outcome = F.when(F.col("__etag").isNull(), "NotFound").when(F.col("__etag") == F.col("etag"), "NotModified").otherwise("Found")
-    return joined.select("stream_name", outcome.alias("outcome"))
+    joined = joined.withColumn("outcome", outcome)
+    found = lambda c: F.when(F.col("outcome") == "Found", F.col(c))
+    return joined.select("stream_name", "outcome", found("__n").alias("index"), found("__etag").alias("etag"))
 
 
 def unpacked(batches: DataFrame) -> DataFrame:

@@ -60,13 +60,20 @@ def upserted(table: DataFrame, rows: DataFrame, key: str = "stream_name") -> Dat
 
 
 def swapped(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rolling state: (table, and `applied` for each of rows) - a row replaces the stored one only if its expected etag
+    """Rolling state: rows with `applied`: a row replaces the stored one only if its expected etag
     is the stored one's, or both are missing. No event is written, and the version stays."""
     stored = table.select("stream_name", F.col("etag").alias("__etag"))
     judged = rows.join(stored, "stream_name", "left")
     return judged.withColumn("applied", F.col("__etag").eqNullSafe(F.col("expected_etag"))).drop("__etag")
 
 
+def rolled(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table (stream_name, etag, ...) after rows (its columns and expected_etag) have been swapped in where they may be,
+    under their own etags; a row of a stream that the table lacks goes in if it expects none. The version stays a row's own."""
+    judged = swapped(table, rows).where("applied").select(*table.columns)
+    return table.join(judged.select("stream_name"), "stream_name", "left_anti").select(*table.columns).unionByName(judged)
+
+
 def unfolds(states: DataFrame, type_: str) -> DataFrame:
     """States as unfold rows, at the index they were taken at."""
     return states.select("stream_name", F.col("version").alias("position"), F.lit(type_).alias("type"), "data", F.lit(True).alias("is_unfold"))

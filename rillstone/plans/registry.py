@@ -262,8 +262,10 @@ def batch_range(spark, d):
     return found.select("stream_name", "i", "n", F.array_join("c", ",").alias("c"))
 
 
-@query(f"""with {USER}, k as (select distinct stream_name, max(position) over (partition by stream_name) + 1 as n from log),
-q as (select stream_name, case when substr(stream_name, 6)::int % 2 = 0 then 'NotModified' else 'Found' end as outcome from k union all select 'User-none', 'NotFound') select * from q""")
+@query(f"""with {USER}, k as (select stream_name, max(position) + 1 as n from log group by 1),
+q as (select stream_name, n, substr(stream_name, 6)::int % 2 = 0 as same from k)
+select stream_name, case when same then 'NotModified' else 'Found' end as outcome, case when not same then n end as index, case when not same then md5(stream_name || ':' || n) end as etag from q
+union all select 'User-none', 'NotFound', null, null""")
 def tip_read(spark, d):
     batches = scans.as_batches(user(spark, d), 10)
     known = batches.where("is_tip").select("stream_name", F.when(F.substring("stream_name", 6, 20).cast("int") % 2 == 0, F.col("etag")).otherwise("old").alias("etag"))
@@ -894,3 +896,49 @@ def durable_decisions(spark, d):
         version = decider.transact(lambda s, t=r.type: [Event(t)])
         found.append((r.stream_name, version, decider.query()))
     return spark.createDataFrame(found, "stream_name string, version long, state long")
+
+
+@query(f"""with {USER}, t as (select stream_name, least(count(*), 6) as held, count(*) filter (where position >= 6) as fresh from log group by 1),
+x as (select *, held + fresh > 10 as calve from t),
+d as (select stream_name, 'tip' as kind, case when calve then held else 0 end as i, held + fresh as n, fresh as a from x where fresh > 0
+  union all select stream_name, 'batch', 0, held, null from x where fresh > 0 and calve)
+select d.*, (select string_agg(type, ',' order by position) from log where log.stream_name = d.stream_name and position >= i and position < n) as c from d""")
+def document_append(spark, d):
+    """Each stream's first six events are its tip, the others are appended at once; tips of more than ten events overflow."""
+    from ..operators import documents
+
+    log = user(spark, d)
+    event = F.struct("position", "type", F.lit(None).cast("string").alias("data"))
+    first = log.where("position < 6").groupBy("stream_name").agg((F.max("position") + 1).alias("n"), F.array_sort(F.collect_list(event)).alias("e"))
+    tips = first.select("stream_name", "n", F.md5("stream_name").alias("etag"), "e", F.array().cast(f"array<{documents.UNFOLD}>").alias("u"), F.lit(0).cast("long").alias("b"))
+    more = log.where("position >= 6").groupBy("stream_name").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    asked = more.select("stream_name", F.lit(6).cast("long").alias("expected_version"), F.lit(None).cast("string").alias("expected_etag"), "events", F.array().cast(f"array<{documents.UNFOLD}>").alias("unfolds"))
+    out = documents.appended(tips, asked, 10, 1 << 30, 1 << 30)
+    return out.select("stream_name", "kind", "i", "n", "a", F.array_join("c", ",").alias("c"))
+
+
+@query(f"with {USER}, s as (select stream_name, count(*) as n from log group by 1) select stream_name, case when n % 3 = 0 then n * 10 else n end as state from s union all select 'User-new', 7")
+def rolling_state_write(spark, d):
+    table = user(spark, d).groupBy("stream_name").agg(F.count("*").alias("state")).withColumn("etag", F.md5(F.col("state").cast("string")))
+    changed = table.select("stream_name", (F.col("state") * 10).alias("state"), F.lit("next").alias("etag"), F.when(F.col("state") % 3 == 0, F.col("etag")).otherwise("old").alias("expected_etag"))
+    new = spark.createDataFrame([("User-new", 7, "next", None), ("User-other", 8, "next", "some")], "stream_name string, state long, etag string, expected_etag string")
+    return snapshots.rolled(table, changed.unionByName(new)).select("stream_name", "state")
+
+
+@query(f"with {USER} select stream_name, count(*) as events, max(position) as last from log group by 1")
+def inline_projection(spark, d):
+    """A read model that two appends keep, each in the manifest of its own."""
+    from ..sources.store import LogStore
+
+    store = LogStore(spark, shared_path(spark, "log"))
+
+    def count(rows, read):
+        own = rows.groupBy("stream_name").agg(F.count("*").alias("events"), F.max("position").alias("last"))
+        old = read("counts")
+        both = own if old is None else own.unionByName(old)
+        return {"counts": both.groupBy("stream_name").agg(F.sum("events").alias("events"), F.max("last").alias("last"))}
+
+    rows = user(spark, d).select("stream_name", F.col("position").alias("n"), "type", "data", "metadata", "id")
+    for part in ("n % 2 = 0", "n % 2 = 1"):
+        store.append_frame(rows.where(part), project=count)
+    return store.read("counts")

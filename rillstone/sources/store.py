@@ -134,19 +134,22 @@ class LogStore:
             return found
         return self.append_frame(frame, {stream: expected})[stream]
 
-    def append_frame(self, events: DataFrame, expected: dict[str, int | None] | None = None, attempts: int = 10) -> dict[str, int]:
+    def append_frame(self, events: DataFrame, expected: dict[str, int | None] | None = None, attempts: int = 10, project=None) -> dict[str, int]:
         """Appends (stream_name, n, type, data, metadata, id) in order of n, all or nothing; versions of the streams that
         were checked. Versions of other streams are not collected. Where another writer comes first, versions are read
-        and checked again: writers of other streams don't fail each other."""
+        and checked again: writers of other streams don't fail each other.
+
+        project(rows, read) gives tables by name that are to change with the append, made of the appended rows and of
+        read(name), the table that was there (None without one): the log and they are published together or not at all."""
         for attempt in range(1, attempts + 1):
             try:
-                return self._append_once(events, expected)
+                return self._append_once(events, expected, project)
             except ConcurrentWrite:
                 if attempt == attempts:
                     raise
         raise AssertionError
 
-    def _append_once(self, events: DataFrame, expected: dict[str, int | None] | None) -> dict[str, int]:
+    def _append_once(self, events: DataFrame, expected: dict[str, int | None] | None, project) -> dict[str, int]:
         manifest = self._manifest()
         log = self._log_of(manifest)
         touched = events.select("stream_name").distinct()
@@ -169,10 +172,17 @@ class LogStore:
         top = self.spark.read.parquet(at).agg(F.max("global_position")).first()[0]
         manifest["files"].append(at)
         manifest["next"] = manifest["next"] if top is None else top + 1
+        made = [at]
         try:
+            old = lambda name: self.spark.read.parquet(manifest["tables"][name]) if name in manifest["tables"] else None
+            for name, table in (project(self.spark.read.schema(SCHEMA).parquet(at), old) if project else {}).items():
+                made.append(f"{self.path}/table-{name}-{uuid.uuid4().hex}")
+                table.write.parquet(made[-1])
+                manifest["tables"] = manifest["tables"] | {name: made[-1]}
             self._publish(manifest)
-        except ConcurrentWrite:
-            self._drop(at)
+        except BaseException:
+            for x in made:
+                self._drop(x)
             raise
         if not wanted:
             return {}

@@ -195,6 +195,16 @@ class Stats:
     def caught_up(self) -> bool:
         return bool(self.read) and all(self.tail.get(t) and self.done.get(t) == at for t, at in self.read.items())
 
+    def wait_for_tail(self, propagation_delay: float = 0.0, timeout: float | None = None, poll: float = 0.01) -> bool:
+        """Waits until every tranche that is known has come to its tail, with all it read done, and at least
+        propagation_delay seconds have passed, the time that appended events take to be seen. False after the timeout."""
+        began = time.monotonic()
+        while not (time.monotonic() - began >= propagation_delay and self.caught_up()):
+            if timeout is not None and time.monotonic() - began >= timeout:
+                return False
+            time.sleep(poll)
+        return True
+
     def dump(self) -> list[dict]:
         return [{"tranche": t, "pages": self.pages[t], "empty": self.empty[t], "events": self.events[t], "read": self.read[t], "completed": self.done.get(t)} for t in sorted(self.pages)]
 

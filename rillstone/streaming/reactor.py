@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-UNKNOWN = -2
+#: Write positions of streams of which nothing is known, and of those that can't be handled any more.
+UNKNOWN, MALFORMED = -2, -3
 RETRY_MS = 1_000
 
 #: Results of a handler: nothing, all, the first n, or go on from an index.
@@ -59,11 +60,27 @@ class StreamState:
         return out
 
     def move(self, index: int) -> None:
+        if self.malformed:
+            return
         self.write = max(index, 0)
         self.waiting = {i: e for i, e in self.waiting.items() if i >= self.write}
 
+    @property
+    def malformed(self) -> bool:
+        return self.write == MALFORMED
+
+    def combine(self, other: StreamState) -> None:
+        """Takes over what another state of the stream knows: the further write position, and the events that wait in
+        either. A malformed stream stays so."""
+        self.write = MALFORMED if self.malformed or other.malformed else max(self.write, other.write)
+        both = other.waiting | self.waiting
+        self.waiting = {i: e for i, e in both.items() if i >= self.write}
+
     def react(self, stream: str, handler: Callable, require_complete: bool) -> Iterator[tuple[int, tuple]]:
-        """Handles runs until none is ready or the handler makes no progress; yields what was handled."""
+        """Handles runs until none is ready or the handler makes no progress; yields what was handled. A malformed stream's
+        events wait for good."""
+        if self.malformed:
+            return
         while run := self.head():
             first = run[0][0]
             if require_complete and self.write >= 0 and first != self.write:

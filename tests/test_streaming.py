@@ -163,3 +163,37 @@ def test_the_category_source_in_batches(spark, tmp_path):
     sizes = [len(x) for x in got if x]
     assert sum(sizes) == 84 and max(sizes[1:]) <= 10 and len(sizes) >= 5
     assert sorted(sum(got, [])) == sorted(r[0] for r in store.log().where("category = 'A'").select("global_position").collect())
+
+
+def test_states_of_a_stream_combine():
+    a, b = R.StreamState(3, {3: ("x", None), 5: ("z", None)}), R.StreamState(R.UNKNOWN, {1: ("u", None), 4: ("y", None)})
+    a.combine(b)
+    assert (a.write, sorted(a.waiting)) == (3, [3, 4, 5])
+    b.combine(a)
+    assert (b.write, sorted(b.waiting)) == (3, [3, 4, 5])
+    a.combine(R.StreamState(R.MALFORMED, {}))
+    assert a.malformed and list(a.react("s", R.take_all, False)) == []
+    a.combine(R.StreamState(9, {}))
+    a.move(9)
+    assert a.malformed
+
+
+def test_waiting_for_the_tail():
+    import threading
+    import time
+
+    stats = F.Stats()
+    assert not stats.wait_for_tail(timeout=0.05)
+
+    def feed():
+        time.sleep(0.1)
+        stats.record_batch("a", 3, 3, False)
+        stats.record_completion("a", 3)
+        time.sleep(0.1)
+        stats.record_batch("a", 0, 3, True)
+        stats.record_completion("a", 3)
+
+    thread, began = threading.Thread(target=feed), time.monotonic()
+    thread.start()
+    assert stats.wait_for_tail(0.4, timeout=5) and time.monotonic() - began >= 0.4
+    thread.join()
