@@ -942,3 +942,19 @@ def inline_projection(spark, d):
     for part in ("n % 2 = 0", "n % 2 = 1"):
         store.append_frame(rows.where(part), project=count)
     return store.read("counts")
+
+
+@query(f"with {USER} select stream_name, sum(n)::bigint as events from (select stream_name, count(*) as n from log where substr(stream_name, 6)::int < 8 group by 1) group by 1")
+def stored_index(spark, d):
+    """Spans of eight streams ingested twice into a stored index; each event is in it once."""
+    from ..operators.epochs import StreamSpan
+    from ..sources.indexes import StoredIndex
+    from ..sources.store import LogStore
+
+    log = user(spark, d).where(N.stream_id("stream_name").cast("int") < 8)
+    cut = spans.spans_of(log, 50).orderBy("stream_name", "i").collect()
+    index = StoredIndex(LogStore(spark, shared_path(spark, "log")), max_version=3)
+    for _ in range(2):
+        for first in sorted({r.i for r in cut}):
+            index.ingest([StreamSpan(r.stream_name, r.i, tuple(r.c)) for r in cut if r.i == first])
+    return index.changes().groupBy("stream_name").agg(F.sum(F.size("c")).cast("long").alias("events"))

@@ -67,7 +67,7 @@ def test_epoch_rules():
     assert open_.ingest(again, never) == (["Cat-Id"], [])
     assert open_.changes[-1] == [E.StreamSpan("Cat-Id", 2, ("b",))]
     assert open_.ingest(again, never) == ([], [])
-    with pytest.raises(E.GapError, match="Invalid gap of 1 at 4 in 'Cat-Id'"):
+    with pytest.raises(E.GapError, match="Cat-Id: span at 4 where 3 was to follow"):
         open_.ingest([E.StreamSpan("Cat-Id", 4, ("z",))], never)
     assert closed.ingest([E.StreamSpan("Cat-Id", 9, ("z",))], never) == ([], [E.StreamSpan("Cat-Id", 9, ("z",))])
     with pytest.raises(ValueError, match="filtered"):
@@ -109,3 +109,30 @@ def test_bulk_classes_equal_the_epoch(spark):
             fresh = epoch.fresh(whole)
             assert (fresh.types if fresh else ()) == tuple(r.fresh)
             assert r.outcome == ("start" if r.stream_name not in heads else "append" if fresh else "discard")
+
+
+def test_a_stored_index_takes_spans_once(spark, tmp_path):
+    from rillstone.sources.indexes import StoredIndex
+    from rillstone.sources.store import LogStore
+
+    store = LogStore(spark, f"file://{tmp_path}/log")
+    index, plain = StoredIndex(store, max_version=2), E.Index(max_version=2)
+    for k in range(5):
+        spans = [span(n, 2 * k) for n in range(1, 4)]
+        assert index.ingest(spans) == plain.ingest(spans)
+        assert index.ingest(spans[:2]) == plain.ingest(spans[:2])
+    again = StoredIndex(LogStore(spark, f"file://{tmp_path}/log"), max_version=2)
+    assert again.active() == plain.active > 0
+    assert sorted((r.epoch, r.ordinal, r.stream_name, r.i, r.c) for r in again.changes().collect()) == sorted(plain.rows())
+    # another writer comes between reading and writing: nothing is lost or taken twice
+    other, real, met = StoredIndex(LogStore(spark, f"file://{tmp_path}/log"), max_version=2), store.replace, []
+
+    def late(name, rows, expected=LogStore.ANY):
+        if not met:
+            met.append(other.ingest([span(7), span(8)]))
+        real(name, rows, expected)
+
+    store.replace = late
+    assert index.ingest([span(8), span(9)]) == ["Cat-stream9"] and met == [["Cat-stream7", "Cat-stream8"]]
+    got = [(r.stream_name, r.i) for r in index.changes().collect()]
+    assert {("Cat-stream7", 0), ("Cat-stream8", 0), ("Cat-stream9", 0)} <= set(got) and len(got) == len(set(got))
