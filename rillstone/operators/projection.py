@@ -18,6 +18,23 @@ def change(action: str, **data) -> dict:
     return {"action": action, "data": {k: None if v is None else str(v) for k, v in data.items()}}
 
 
+def changes_for(keys: tuple[str, ...], columns: tuple[str, ...]) -> dict[str, Callable[..., dict]]:
+    """A builder for each action of a read model with these keys and further columns: each needs all keys, takes no other
+    names, and gives a change()."""
+
+    def builder(action: str) -> Callable[..., dict]:
+        def build(**data) -> dict:
+            if missing := [k for k in keys if data.get(k) is None]:
+                raise ValueError(f"{action} without {', '.join(missing)}")
+            if unknown := sorted(set(data) - {*keys, *columns}):
+                raise ValueError(f"{action} with unknown {', '.join(unknown)}")
+            return change(action, **data)
+
+        return build
+
+    return {action: builder(action) for action in ACTIONS}
+
+
 def merged(a: Column, b: Column) -> Column:
     """Members of b over those of a."""
     return F.map_zip_with(a, b, lambda k, x, y: F.when(F.map_contains_key(b, k), y).otherwise(x))

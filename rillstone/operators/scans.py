@@ -211,10 +211,19 @@ def pruned(batches: DataFrame, gone: DataFrame) -> DataFrame:
     return batches.join(gone.select("stream_name", "i"), ["stream_name", "i"], "left_anti")
 
 
-def dumped(log: DataFrame, stream: str) -> DataFrame:
-    """A stream as JSON lines, in order."""
+def dumped(log: DataFrame, stream: str, text: bool = False) -> DataFrame:
+    """A stream in order as JSON lines, or as plain text: position, type and data."""
     found = stream_messages(log, stream, 0, -1)
-    return found.select(F.to_json(F.struct("position", "type", "data")).alias("line"))
+    line = F.concat_ws(" ", F.col("position").cast("string"), "type", "data") if text else F.to_json(F.struct("position", "type", "data"))
+    return found.select(line.alias("line"))
+
+
+def trace_attributes(batch: DataFrame, now=None) -> DataFrame:
+    """(stream_name, category, first_index, last_index, events, lead_ms): what a span of the handler of each stream's events
+    carries."""
+    per = batch.groupBy("stream_name").agg(F.min("position").alias("first_index"), F.max("position").alias("last_index"))
+    joined = per.join(lead_times(batch, now), "stream_name")
+    return joined.select("stream_name", N.category("stream_name").alias("category"), "first_index", "last_index", "events", "lead_ms")
 
 
 def lead_times(batch: DataFrame, now=None) -> DataFrame:

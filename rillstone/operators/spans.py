@@ -102,8 +102,10 @@ def high_water(spans: DataFrame) -> DataFrame:
     return spans.groupBy("stream_name").agg(F.max_by(F.col("i") + F.size("c"), "ordinal").cast("long").alias("next_index"))
 
 
-def hydrate(spans: DataFrame, log: DataFrame) -> DataFrame:
-    """Events of spans (stream_name, i, c) with their bodies: one row an index, joined on (stream_name, position)."""
+def hydrate(spans: DataFrame, log: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Events of spans (stream_name, i, c) with their bodies: one row an index, joined on (stream_name, position). wanted
+    chooses by stream_name and c whose bodies are read at all; others are left out before the join."""
+    spans = spans if wanted is None else spans.where(wanted)
     each = spans.select("stream_name", F.posexplode("c").alias("__k", "__t"), "i").select("stream_name", (F.col("i") + F.col("__k")).alias("position"))
     return each.distinct().join(log, ["stream_name", "position"])
 

@@ -958,3 +958,20 @@ def stored_index(spark, d):
         for first in sorted({r.i for r in cut}):
             index.ingest([StreamSpan(r.stream_name, r.i, tuple(r.c)) for r in cut if r.i == first])
     return index.changes().groupBy("stream_name").agg(F.sum(F.size("c")).cast("long").alias("events"))
+
+
+@query(f"with {USER}, m as (select max(time) as t from log) select stream_name, 'User' as category, min(position) as first_index, max(position) as last_index, count(*) as events, (epoch_us((select t from m)) - epoch_us(max(time))) // 1000 as lead_ms from log group by 1")
+def trace_attributes(spark, d):
+    return scans.trace_attributes(user(spark, d))
+
+
+@query(f"with {USER} select stream_name, position, type, value from log where substr(stream_name, 6)::int % 3 = 0")
+def span_hydration_of_some(spark, d):
+    log = user(spark, d)
+    some = N.stream_id("stream_name").cast("int") % 3 == 0
+    return spans.hydrate(spans.spans_of(log, 4), log.select("stream_name", "position", "type", "value"), some)
+
+
+@query(f"with {USER} select position || ' ' || type as line from log where stream_name = 'User-2'")
+def stream_dump_text(spark, d):
+    return scans.dumped(user(spark, d).withColumn("data", F.lit(None).cast("string")), "User-2", text=True)

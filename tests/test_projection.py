@@ -89,3 +89,16 @@ def test_handler_keeps_a_read_model(spark, tmp_path):
     keep(batch, 0)
     keep(batch, 0)
     assert [tuple(r) for r in store.read("people").collect()] == [("a", "bob", 1)]
+
+
+def test_builders_need_their_keys():
+    import pytest
+
+    from rillstone.operators import projection
+
+    build = projection.changes_for(("id", "tenant"), ("name",))
+    assert build["Upsert"](id=1, tenant="t", name=None) == {"action": "Upsert", "data": {"id": "1", "tenant": "t", "name": None}}
+    assert set(build) == {"Insert", "Update", "Upsert", "Delete"}
+    for wrong in ({"id": 1}, {"id": 1, "tenant": None}, {"id": 1, "tenant": 2, "age": 3}):
+        with pytest.raises(ValueError):
+            build["Delete"](**wrong)
