@@ -87,12 +87,14 @@ def test_stages_stand_odd_tables(spark, tmp_path):
         docs.coalesce(2).write.parquet(f"{at}/documents.parquet")
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{at}/labels.parquet")
         given = docs.count()
-        for name, stage in P.STAGES[:-1]:
+        for name, stage in P.STAGES[:-1] if n in (0, 3) else P.STAGES[:1]:
             docs = P.written(stage(spark, docs, at), f"test-{name}")
             assert docs.columns == odd.columns and (docs.count() > 0) == (given > 0), name
             if given:
                 r = docs.where("text = 'a b c' and doc_id is null").first()
                 assert r is None or (r["id"], r["__tk"], r["__mix_size"], r["piece_ids"]) == (0, odd.first()["__tk"], odd.first()["__mix_size"], "own")
+        if n not in (0, 3):
+            continue
         out = P.STAGES[-1][1](spark, docs, at)
         assert out.columns == [*odd.columns, "piece_ids_", "n_pieces_", "decoded_exactly"]
         assert out.where("not decoded_exactly or piece_ids <> 'own'").count() == 0 and (out.count() > 0) == (given > 0)
