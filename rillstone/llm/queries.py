@@ -15,6 +15,7 @@ QUERIES = {
     "op10_source_mixing": mixing.op10_source_mixing,
     "media_payload": gif_media.media_payload,
     "lm_base": brown_lm.lm_base,
+    "toxicity_rows": toxicity.toxicity_rows,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op10_source_mixing": mixing.ORACLE,
     "media_payload": gif_media.PAYLOAD_ORACLE,
     "lm_base": brown_lm.BASE_ORACLE,
+    "toxicity_rows": toxicity.ROWS_ORACLE,
 }

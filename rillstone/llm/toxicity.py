@@ -12,14 +12,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 BITS = 20
-#: Bound of the labelled rows that are learnt from: those whose md5 of doc_id is smallest.
-SAMPLE = 16_384
+#: Bounds of the labelled documents that are learnt from, in number and in characters of their texts together: those whose
+#: md5 of doc_id is smallest.
+SAMPLE, SAMPLE_CHARS = 16_384, 1 << 28
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 #: Toxic rows are few; their gradients count this much.
@@ -73,15 +74,16 @@ def score_text(text: str | None, weights: np.ndarray, bias: float, bits: int = B
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Weights and bias from rows whose crc32(doc_id as text) mod 5 is not 0.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, float]:
+    """Weights and bias from documents whose crc32(doc_id as text) mod 5 is not 0.
 
-    Rows without doc_id or label are left out; a doc_id with several labels counts as toxic if one says so. Of a
-    doc_id that has several rows in docs each is learnt. The sample's ids are broadcast: `sample` bounds them.
-    Without any label the weights are empty and every text scores below one half.
+    Rows without doc_id or label are left out, as are labels of documents that are not there; a doc_id with several labels
+    counts as toxic if one says so. Of a doc_id that has several rows in docs the one with the smallest md5 of its text is
+    learnt, so that neither repeats nor long texts go beyond the bounds. Without any label the weights are empty and every
+    text scores below one half.
     """
-    spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
+    usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     # the smallest digests lie below a share of all that is a little too large, so few rows of each task are compared
     most = min(1.0, 1.2 * sample / max(1, usable.count()) + 1e-6)
     digest = F.md5(F.col("doc_id").cast("string"))
@@ -89,23 +91,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     ids = (
         usable.where(share <= most)
         .groupBy("doc_id")
-        .agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("__toxic"))
+        .agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("label"))
         .orderBy(digest)
         .limit(sample)
     )
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "text", "__toxic")
-        .repartition(1)
-        .sortWithinPartitions(F.md5(F.col("doc_id").cast("string")), "text")
-    )
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = own.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.md5("text"))).alias("text"))
+    # at most `sample` rows, in the order of learning; their lengths are summed before their texts are taken
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(Window.orderBy(digest))
+    rows = one.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("text", "label")
 
     def train(batches):
         texts, ys = [], []
         for b in batches:
             texts += b.column("text").to_pylist()
-            ys += b.column("__toxic").to_pylist()
+            ys += b.column("label").to_pylist()
         at, w, bias = fit(texts, ys, bits)
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *at.tolist()], pa.int32()), pa.array([bias, *w.tolist()], pa.float64())], ["bucket", "weight"]
@@ -122,10 +122,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> DataFrame:
-    """docs with __toxicity, from 0 to 1. Null and empty texts get the bias; other columns pass through untouched."""
+    """docs with __toxicity, from 0 to 1; where docs has such a column, the new one's name ends in underscores. Null and
+    empty texts get the bias; other columns pass through untouched. An empty table gives an empty one."""
     weights, bias = learn(docs, labels, sample, bits)
     at = np.flatnonzero(weights).astype(np.int32)
     sparse = docs.sparkSession.sparkContext.broadcast((at.tobytes(), weights[at].tobytes(), bias))
+    name = fresh(docs, "__toxicity")
 
     def score(batches):
         where, values, b0 = sparse.value
@@ -134,15 +136,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int
         for b in batches:
             at_text = b.schema.get_field_index("text")
             scores = [score_text(t.as_py(), w, b0, bits) for t in b.column(at_text)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "__toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
 
-    schema = docs.select("*", F.lit(0.0).alias("__toxicity")).schema
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
     return docs.mapInArrow(score, schema)
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that are not rejected, with their columns."""
-    return toxicity(docs, labels).where(F.col("__toxicity") < threshold).drop("__toxicity")
+    """The rows of docs that are not rejected, with their columns, whatever their names."""
+    name = fresh(docs, "__toxicity")
+    return toxicity(docs, labels).where(F.col(name) < threshold).drop(name)
 
 
 def op9_toxicity(spark, sf_dir):
@@ -153,3 +156,15 @@ def op9_toxicity(spark, sf_dir):
         F.col("__toxicity").alias("score"),
         F.when(F.col("__toxicity") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+def toxicity_rows(spark, sf_dir):
+    """What op9_toxicity has that SQL can compute too: its rows and which of them are held out."""
+    return op9_toxicity(spark, sf_dir).select("doc_id", "held_out", F.col("score").between(0, 1).alias("in_range"))
+
+
+ROWS_ORACLE = r"""
+select doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 5 = 0 as held_out, true as in_range
+from documents
+"""

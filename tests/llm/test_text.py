@@ -705,6 +705,16 @@ def test_forest_on_texts_of_another_kind(spark):
     assert right / 200 > 0.9 and right / len(found) > 0.9, (right, len(found))
 
 
+def test_dictionary_of_a_corpus(spark):
+    counts = Counter(w for _, t, *_ in X.documents() for w in re.findall("[a-z]+", (t or "").lower()) if len(w) >= 4)
+    wanted = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50]]
+    found = secret_scan.corpus_dictionary(X.with_clashes(X.frame(spark)), 50)
+    assert [counts[w] for w in found] == [counts[w] for w in wanted] and set(found) <= set(counts)
+    assert secret_scan.corpus_dictionary(X.frame(spark, [])) == []
+    df = spark.createDataFrame([("aaBB11", "", "", None)], "value string, before string, after string, path string")
+    assert secret_scan.features(df, ["bb1"]).first().covered == 0.5
+
+
 def test_labels_are_no_function_of_place_or_neighbours(spark):
     every = secret_scan.labelled_findings(spark)
     for names in (("path",), ("before",), ("after",)):
