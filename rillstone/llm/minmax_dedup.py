@@ -29,6 +29,8 @@ M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16566
 PERMUTATIONS, ROWS = 32, 4
 #: Bounds of a block: rows, and shingles of its rows together.
 QUERIES, MEMBERS, SHINGLES = 256, 1024, 400_000
+#: Texts that are compared with one copy of their bucket's first.
+STAR = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -105,24 +107,30 @@ def signed(docs: DataFrame, width: int, permutations: int, rows: int) -> DataFra
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets overlap enough; texts: (id, text). The smaller id's set is kept while it recurs."""
-    left = texts.withColumnsRenamed({"id": "a", "text": "__a"})
-    right = texts.withColumnsRenamed({"id": "b", "text": "__b"})
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "__a", "__b").sortWithinPartitions("a")
+    """(a, b) of the pairs whose sets overlap enough; texts: (id, text). The text of a stands before those of its bs, of which
+    a block takes STAR or so: a hub's text travels once for each block, and its pairs are spread over tasks."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR)).cast("int").alias("block")
+    placed = pairs.join(sizes, "a").select("a", "b", block)
+    heads = placed.select("a", "block").distinct().join(texts.withColumnRenamed("id", "a"), "a")
+    heads = heads.select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    others = placed.join(texts.withColumnRenamed("id", "b"), "b").select("a", "block", "b", "text")
+    rows = heads.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches):
-        last, kept = None, None
-        for b in batches:
+        kept = np.empty(0, np.uint64)
+        for batch in batches:
             found = ([], [])
-            for x, y, tx, ty in zip(*(b.column(i) for i in range(4)), strict=True):
-                if last != x.as_py():
-                    last, kept = x.as_py(), shingles(tx.as_py(), width)
-                if overlap_at_least(kept, shingles(ty.as_py(), width), percent):
-                    found[0].append(last)
-                    found[1].append(y.as_py())
+            for a, b, text in zip(*(batch.column(c) for c in ("a", "b", "text")), strict=True):
+                sh = shingles(text.as_py(), width)
+                if b.as_py() is None:
+                    kept = sh
+                elif overlap_at_least(kept, sh, percent):
+                    found[0].append(a.as_py())
+                    found[1].append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def block_links(group: pa.Table, width: int, percent: int) -> pa.Table:
@@ -168,6 +176,8 @@ def linked(classes: DataFrame, confirm: Callable, compare: Callable, load: str)
     """
     members = classes.select(F.explode("__bands").alias("key"), "id", load)
     buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    # written, so that a hot key's members meet it in a join of two plain shuffles, which Spark can split
+    buckets = written(buckets, "bucket-heads")
     members = written(members.join(buckets, "key").select("key", "id", "a", "n", load), "buckets")
     pairs = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     first = written(components(confirm(pairs)), "components")
