@@ -290,6 +290,33 @@ def test_lines_with_changes_are_found(spark):
     assert all(f >= v[-1] for f, v in zip(found, VARIATIONS, strict=True)), str(found)
 
 
+def test_lines_of_short_or_repeated_words_are_found(spark):
+    """Lines whose words have few characters, and lines that repeat few words, have keys too; of up to 14 characters all links are found."""
+    import random
+
+    rnd, texts = random.Random(5), []
+
+    def add(words, at, other):
+        b = list(words)
+        b[at] = other
+        a, b = " ".join(words), " ".join(b)
+        assert a != b and 100 * bit_distance(a, b) <= 20 * max(len(a), len(b)), (a, b)
+        texts.extend([a, b])
+
+    for k in range(40):  # each pair has letters of its own, so that none is linked by another's lines
+        own = [chr(0x4E00 + 64 * k + i) for i in range(64)]
+        add(rnd.sample(own, 30), 7, own[0] + own[1])
+        add(rnd.sample(own, 12), 5, own[2] + own[3])
+        add([own[0] + own[1], own[2] + own[3], own[4] + own[5], own[6] + own[7]], 3, own[6] + own[9])
+        add([own[10]] * 12, 4, own[11])
+        add([own[12] + own[13]] * 4, 2, own[12] + own[14])
+        add([own[15], own[16]] * 9, 4, own[17])
+    out = line_dedup.dedup_lines(X.frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)]))
+    gone = {r.doc_id for r in out.where("n_removed = 1").collect()}
+    found = [sum(12 * k + 2 * i + 1 in gone for k in range(40)) for i in range(6)]
+    assert found[0] >= 39 and found[1] >= 38 and found[2:] == [40] * 4, str(found)
+
+
 def test_short_and_odd_lines(spark):
     """Exact repeats of any length go; lines without letters or digits stay; a document goes when only such are left."""
     rows = [(1, "yes\n--\n\nkeep this line"), (2, "yes\n--\n"), (3, "Yes!\nno"), (4, "--\n"), (5, ""), (6, None), (7, "spam " * 3000), (8, "spam " * 2999), (9, "x" * 3000 + "y" * 3000), (10, "x" * 2999 + "y" * 3001)]
