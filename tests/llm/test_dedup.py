@@ -317,6 +317,30 @@ def test_lines_of_short_or_repeated_words_are_found(spark):
     assert found[0] >= 39 and found[1] >= 38 and found[2:] == [40] * 4, str(found)
 
 
+def test_large_buckets_are_asked_in_rounds(spark, monkeypatch):
+    """Lines that some lines of a bucket link are not asked again, and no link is lost by it."""
+    import random
+
+    rnd, texts = random.Random(9), []
+    for _ in range(3):
+        base = [X.word(rnd) for _ in range(34)]
+        for _ in range(30):
+            line = list(base)
+            for at in rnd.sample(range(34), rnd.randint(2, 7)):
+                line[at] = X.word(rnd)
+            texts.append(" ".join(line))
+        texts += [" ".join(base[:12] + [X.word(rnd) for _ in range(22)]) for _ in range(12)]
+    docs = X.frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])
+    rounds, asked = [], line_dedup.asked_links
+    monkeypatch.setattr(line_dedup, "asked_links", lambda *a: rounds.append(a[5:]) or asked(*a))
+    whole = {r.doc_id for r in line_dedup.dedup_lines(docs).where("n_removed = 1").collect()}
+    assert rounds == [()]
+    monkeypatch.setattr(line_dedup, "SOME", 2)
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs).where("n_removed = 1").collect()} == whole
+    assert rounds[1:] == [(2,), ()]
+    assert whole <= {d for d, _ in all_lines_compared(frozenset(enumerate(texts)), 80)[2]} and len(whole) > 60
+
+
 def test_short_and_odd_lines(spark):
     """Exact repeats of any length go; lines without letters or digits stay; a document goes when only such are left."""
     rows = [(1, "yes\n--\n\nkeep this line"), (2, "yes\n--\n"), (3, "Yes!\nno"), (4, "--\n"), (5, ""), (6, None), (7, "spam " * 3000), (8, "spam " * 2999), (9, "x" * 3000 + "y" * 3000), (10, "x" * 2999 + "y" * 3001)]
