@@ -341,6 +341,47 @@ def test_large_buckets_are_asked_in_rounds(spark, monkeypatch):
     assert whole <= {d for d, _ in all_lines_compared(frozenset(enumerate(texts)), 80)[2]} and len(whole) > 60
 
 
+def test_a_centre_settles_pairs(spark):
+    """Distances from a bucket's centre are within their bounds, which tell all far lines from its near copies uncompared."""
+    import random
+
+    rnd, lines, k = random.Random(12), [], 0
+    base = [X.word(rnd) for _ in range(30)]
+    for k in range(60):
+        line = list(base)
+        for at in rnd.sample(range(30), 1 if k < 40 else 24):
+            line[at] = X.word(rnd)
+        lines.append((k, line, len(" ".join(line))))
+    texts = spark.createDataFrame(lines, "id long, norm array<string>, length int")
+    rest = spark.createDataFrame([(7, k, 0 if k < 40 else k, 0, 60, 40, 1, 0) for k in range(60)] + [(8, 0, 0, 0, 2, 1, 1, 0), (8, 50, 50, 0, 2, 1, 1, 0)], "key long, id long, component long, largest long, n long, most long, blocks int, block int")
+    found = {r.id: r.spread for r in line_dedup.bounded(rest, texts, 80).where("key = 7").collect()}
+    assert len(found) == 60 and line_dedup.bounded(rest, texts, 80).count() == 60
+    text = [" ".join(w) for _, w, _ in lines]
+    assert all(s.low <= bit_distance(text[0], text[k]) <= s.high for k, s in found.items())
+    settled = sum(found[q].low - found[y].high > 0.2 * max(len(text[q]), len(text[y])) for q in range(40, 60) for y in range(40))
+    assert settled > 700
+
+
+def test_few_changed_words_are_similar(spark):
+    """Long lines with changes in many places are linked by their words, none that the distance of characters doesn't link."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd, pairs = random.Random(13), []
+    for k in range(40):
+        a = [X.word(rnd) for _ in range(60)]
+        b = list(a)
+        for _ in range(1 + k // 4):
+            at = rnd.randrange(len(b))
+            b[at : at + 1] = rnd.choice([[], [X.word(rnd)], [b[at], X.word(rnd)]])
+        pairs.append((a, b, max(len(" ".join(a)), len(" ".join(b))) // 5))
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>, most int")
+    found = df.select("*", line_dedup.few_words(F.col("a"), F.col("b"), F.col("most")).alias("s")).collect()
+    assert 10 < sum(r.s for r in found) < 40
+    assert all(bit_distance(" ".join(r.a), " ".join(r.b)) <= r.most for r in found if r.s)
+
+
 def test_short_and_odd_lines(spark):
     """Exact repeats of any length go; lines without letters or digits stay; a document goes when only such are left."""
     rows = [(1, "yes\n--\n\nkeep this line"), (2, "yes\n--\n"), (3, "Yes!\nno"), (4, "--\n"), (5, ""), (6, None), (7, "spam " * 3000), (8, "spam " * 2999), (9, "x" * 3000 + "y" * 3000), (10, "x" * 2999 + "y" * 3001)]
