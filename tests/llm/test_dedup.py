@@ -382,6 +382,44 @@ def test_few_changed_words_are_similar(spark):
     assert all(bit_distance(" ".join(r.a), " ".join(r.b)) <= r.most for r in found if r.s)
 
 
+def test_keys_are_made_where_lines_are_read(spark):
+    """Nothing is shuffled for keys, and equal rows don't add up: a near copy of a repeated row is found."""
+    import random
+
+    rnd, rows = random.Random(14), []
+    for k in range(8):
+        words = [X.word(rnd) for _ in range(30 + 20 * k)]
+        line = " ".join(words)
+        words[3 * k] = X.word(rnd) + "x"
+        rows += [(2 * k, line, None, None, 0), (2 * k, line, None, None, 0), (2 * k + 1, " ".join(words), None, None, 0)]
+    docs = X.frame(spark, rows)
+    plan = line_dedup.occurrences(docs.select("doc_id", "text"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+    found = line_dedup.dedup_lines(docs).collect()
+    assert sorted(r.doc_id for r in found if r.n_removed) == list(range(1, 16, 2)) and len(found) == 24
+
+
+def test_starts_tell_only_far_pairs(spark):
+    """No pair within the distance is told by its start, and most unlike pairs are."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd, pairs = random.Random(15), []
+    for k in range(300):
+        a = " ".join(X.word(rnd) for _ in range(rnd.randint(1, 25)))
+        b = list(a if k % 3 else " ".join(X.word(rnd) for _ in range(rnd.randint(1, 25))))
+        for _ in range(rnd.randint(0, len(a) // 4)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 2)] = rnd.choice(["", "x", "yä", "ß"])
+        b = "".join(b)
+        pairs.append((a, b, max(len(a), len(b)) // 5, bit_distance(a, b)))
+    df = spark.createDataFrame(pairs, "a string, b string, most int, d int").withColumn("s", line_dedup.start_within(F.col("a"), F.col("b"), F.col("most")))
+    found = df.collect()
+    assert all(r.s for r in found if r.d <= r.most) and sum(r.d <= r.most for r in found) > 100
+    assert sum(not r.s for r in found) > 60
+
+
 def test_short_and_odd_lines(spark):
     """Exact repeats of any length go; lines without letters or digits stay; a document goes when only such are left."""
     rows = [(1, "yes\n--\n\nkeep this line"), (2, "yes\n--\n"), (3, "Yes!\nno"), (4, "--\n"), (5, ""), (6, None), (7, "spam " * 3000), (8, "spam " * 2999), (9, "x" * 3000 + "y" * 3000), (10, "x" * 2999 + "y" * 3001)]
